@@ -25,3 +25,26 @@ def rx(expr: str, name: str, digits: int = 6) -> str:
 
 def ctes(parts: list[tuple[str, str]], select: str) -> str:
     return "with recursive " + ",\n".join(f"{n} as ({q})" for n, q in parts) + "\n" + select
+
+
+def layered(items: list[str], src: str) -> str:
+    """select *, <items> from src, where an item may use names defined by earlier items.
+
+    Items that depend on earlier ones go to an outer subquery (lateral aliases would be
+    expanded in place and grow exponentially).
+    """
+    import re
+
+    levels: list[list[tuple[str, str]]] = [[]]
+    for item in items:
+        expr, name = item.rsplit(" as ", 1)
+        current = [n for _, n in levels[-1]]
+        if any(re.search(rf"\b{re.escape(n)}\b", expr) for n in current):
+            levels.append([])
+        levels[-1].append((expr, name))
+    query = src
+    for level in levels:
+        cols = ", ".join(f"{e} as {n}" for e, n in level)
+        inner = query if query == src else f"({query})"
+        query = f"select *, {cols} from {inner}"
+    return query

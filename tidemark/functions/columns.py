@@ -202,4 +202,13 @@ def array_sum(values: Column) -> Column:
 
 
 def array_mean(values: Column) -> Column:
-    return array_sum(values) / F.size(values)
+    return F.try_divide(array_sum(values), F.size(values))
+
+
+def fence(df):
+    """Evaluates the columns of each row once, as a one-row generator.
+
+    Filters and join conditions on a deep column would otherwise be rewritten in terms of its inputs
+    at every level of the projection chain, which grows exponentially; they stop at a generator.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))

@@ -1,8 +1,7 @@
 """Structural scalar: attention-weighted level of a few terms plus spread and energy boosts.
 
-Two forms of the same operator: ``staged`` unrolls a fixed list of terms into plain
-projections (generated code, used by the scoring paths over big tables); ``scalar_steps``
-works on an array column of any length and exposes every intermediate.
+``staged`` unrolls a fixed list of terms into plain projections, so that scoring a big table stays
+in generated code; ``trace`` keeps every intermediate as a column.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import array_mean, array_sum, bounded_gate, clip, total
+from tidemark.functions.columns import total
 
 
 @dataclass(frozen=True)
@@ -24,7 +23,8 @@ class Spec:
 
 
 def staged(
-    df: DataFrame, specs: list[Spec], params: dict[str, Column], *, keep_single: bool = True, null_as_gap: bool = True
+    df: DataFrame, specs: list[Spec], params: dict[str, Column], *, keep_single: bool = True, null_as_gap: bool = True,
+    trace: bool = False,
 ) -> DataFrame:
     """Adds one column per spec; all specs advance together so the plan stays six projections deep.
 
@@ -84,8 +84,9 @@ def staged(
     for s in specs:
         weights = [F.col(f"{s.out}__w{i}") for i in range(len(s.terms))]
         mass = total(weights)
+        mass = F.when(mass > 0, mass)
         step[f"{s.out}__mass"] = mass
-        step[f"{s.out}__am"] = total(each(s, lambda i, x: weights[i] * x)) / F.when(mass > 0, mass)
+        step[f"{s.out}__am"] = total(each(s, lambda i, x: weights[i] * x)) / mass
     df = add(df, step)
 
     step = {}
@@ -100,45 +101,14 @@ def staged(
             params["structure_weight"] * (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + spread))
             + params["energy_weight"] * (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + energy))
         )
+        if trace:
+            step |= {
+                f"{s.out}_n": F.coalesce(F.col(f"{s.out}__n"), F.lit(0.0)), f"{s.out}_mean": F.col(f"{s.out}__m"), f"{s.out}_std": F.col(f"{s.out}__s"),
+                f"{s.out}_level": am, f"{s.out}_spread": spread, f"{s.out}_energy": energy,
+                f"{s.out}_sign": F.when(am.isNotNull(), sign), f"{s.out}_boost": boost,
+            }
         value = F.when(am.isNotNull(), params["level_weight"] * am + boost)
         if keep_single and null_as_gap:
             value = F.when(F.col(f"{s.out}__n") == 1, F.coalesce(*[F.col(n) for n in s.terms])).otherwise(value)
         step[s.out] = value
     return df.withColumns(step).drop(*scratch)
-
-
-def scalar_steps(df: DataFrame, terms: str, params: dict[str, Column], prefix: str = "") -> DataFrame:
-    """Structural scalar of an array column with its trace: level, spread, energy, sign, boost, value."""
-    p = prefix
-    c = lambda name: F.col(f"{p}{name}")
-    df = df.withColumns({f"{p}finite": F.filter(F.col(terms), lambda x: x.isNotNull() & ~F.isnan(x))})
-    df = df.withColumns({f"{p}n": F.size(c("finite"))})
-    df = df.withColumns({f"{p}mean": F.when(c("n") > 0, array_mean(c("finite")))})
-    df = df.withColumns({f"{p}std": F.sqrt(array_mean(F.transform(c("finite"), lambda x: (x - c("mean")) * (x - c("mean")))))})
-    df = df.withColumns({
-        f"{p}drive": F.transform(
-            c("finite"),
-            lambda x: F.lit(0.60) * (x - c("mean")) / (c("std") + F.lit(1e-6))
-            + F.lit(0.40) * F.abs((x - c("mean")) / (c("std") + F.lit(1e-6))),
-        )
-    })
-    df = df.withColumns({
-        f"{p}raw_w": F.transform(c("drive"), lambda d: F.exp(clip((d - F.array_max(c("drive"))) * params["temperature"], -50.0, 50.0)))
-    })
-    df = df.withColumns({f"{p}weights": F.transform(c("raw_w"), lambda w: w / array_sum(c("raw_w")))})
-    df = df.withColumns({f"{p}level": array_sum(F.zip_with(c("weights"), c("finite"), lambda w, x: w * x))})
-    df = df.withColumns({
-        f"{p}spread": F.sqrt(array_sum(F.zip_with(c("weights"), c("finite"), lambda w, x: w * (x - c("level")) * (x - c("level"))))),
-        f"{p}energy": F.log1p(array_sum(F.zip_with(c("weights"), c("finite"), lambda w, x: w * x * x))),
-        f"{p}sign": F.when(F.signum(c("level")) != 0, F.signum(c("level")))
-        .when(F.signum(array_sum(c("finite"))) != 0, F.signum(array_sum(c("finite"))))
-        .otherwise(F.lit(1.0)),
-    })
-    df = df.withColumns({
-        f"{p}boost": c("sign")
-        * (params["structure_weight"] * bounded_gate(c("spread")) + params["energy_weight"] * bounded_gate(c("energy")))
-    })
-    value = params["level_weight"] * c("level") + c("boost")
-    return df.withColumns({
-        f"{p}value": F.when(c("n") == 1, F.element_at(c("finite"), 1)).when(c("n") > 1, value)
-    }).drop(f"{p}raw_w")

@@ -562,7 +562,7 @@ def evaluate(features: DataFrame, version: str, mode: str, *, sensitivities: boo
     }
     reason = F.when(ready, L("")).otherwise(L(REASON_ALL if mode != "hybrid" else REASON_NONE))
     extra = [n for n in REPORT if n in features.columns]
-    return df.select(
+    out = df.select(
         *IDS,
         L(version).alias("version"),
         L(mode).alias("mode"),
@@ -578,6 +578,7 @@ def evaluate(features: DataFrame, version: str, mode: str, *, sensitivities: boo
         *[col.alias(name) for name, col in sens.items()],
         *extra,
     )
+    return fx.fence(out)
 
 
 def evaluate_all(features: DataFrame, mode: str, versions=cfg.VERSIONS, *, sensitivities: bool = True) -> DataFrame:

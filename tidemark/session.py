@@ -26,9 +26,20 @@ def local_session(name: str = "tidemark", cores: str = "8") -> SparkSession:
     return spark
 
 
+_LOCAL_FOLDER: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where none is set (tests)."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _LOCAL_FOLDER:
+        _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="tidemark-"))
+    return _LOCAL_FOLDER[0]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's spark.checkpoint.dir; sets a local folder only where none is set (tests)."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+    """Makes DataFrame.checkpoint() usable, keeping a folder that is already set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -124,8 +124,10 @@ def average_ranks(df: DataFrame, groups: list[str], members: list[str], value: s
     Returns one row per (group, members, value): count ``c`` of the member at that value, ``rank``
     the average rank of the value in its group, ``ties`` its total count, ``n`` the group size.
     """
-    rows, _ = value_bins(df.withColumn("_m", F.struct(*members)) if members else df.withColumn("_m", F.lit(0)), [*groups, "_m"], value, 1)
-    pooled = rows.groupBy(*groups, "_m", "_v").agg(F.count(F.lit(1)).alias("c"))
+    pooled = (
+        df.select(*groups, *members, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+        .groupBy(*groups, *members, "_v").agg(F.count(F.lit(1)).alias("c"))
+    )
     extent = pooled.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("c").alias("n"))
     joined = pooled.join(extent, groups)
     cell = F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * F.lit(bins))
@@ -138,4 +140,4 @@ def average_ranks(df: DataFrame, groups: list[str], members: list[str], value: s
     same = F.sum("c").over(Window.partitionBy(*groups, "_bin", "_v"))
     out = joined.join(base, [*groups, "_bin"]).withColumn("ties", same).withColumn("_upto", F.col("_base") + upto)
     rank = F.col("_upto") - F.col("ties") + (F.col("ties") + F.lit(1)) / F.lit(2.0)
-    return out.select(*groups, *([f"_m.{m}" for m in members]), F.col("_v").alias(value), "c", "ties", rank.alias("rank"), "n")
+    return out.select(*groups, *members, F.col("_v").alias(value), "c", "ties", rank.alias("rank"), "n")

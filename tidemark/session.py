@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,3 +44,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Makes DataFrame.checkpoint() usable, keeping a folder that is already set."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tidemark-package-")
+    archive = shutil.make_archive(os.path.join(folder, "tidemark"), "zip", os.path.dirname(root), os.path.basename(root))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)

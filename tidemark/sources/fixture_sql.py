@@ -13,12 +13,14 @@ _DIALECT = {
         "SECONDS": "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', {0}) / 1e6",
         "DAYS": "datediff({0}, date'1992-01-01')",
         "INTDIV": "{0} div {1}",
+        "SCALED": "transform({0}, x -> cast(x as double) * cast(1 + {1} % 7 as double))",
         "LIST": "transform({0}, x -> cast(x as double))",
     },
     "duckdb": {
         "SECONDS": "date_diff('microsecond', timestamp '2024-01-01 00:00:00', {0}) / 1e6",
         "DAYS": "date_diff('day', date '1992-01-01', cast({0} as date))",
         "INTDIV": "{0} // {1}",
+        "SCALED": "list_transform({0}, lambda x: cast(x as double) * cast(1 + {1} % 7 as double))",
         "LIST": "list_transform({0}, lambda x: cast(x as double))",
     },
 }
@@ -87,7 +89,7 @@ _VIEWS["fx_features"] = (
 
 _VIEWS["fx_windows"] = (
     "select cast(vec_id as bigint) as sample_index, concat('S', cast(label as varchar(10))) as state, "
-    "'embedded' as scenario, LIST(embedding) as window_values from {embeddings}",
+    "'embedded' as scenario, SCALED(embedding, vec_id) as window_values from {embeddings}",
     ("embeddings",),
 )
 

@@ -83,8 +83,9 @@ def by_key(key: Column, table: dict, default: Column | None = None) -> Column:
     expr = None
     for k, v in table.items():
         expr = F.when(key == k, F.lit(v)) if expr is None else expr.when(key == k, F.lit(v))
-    default = null_double() if default is None else default
-    return default if expr is None else expr.otherwise(default)
+    if expr is None:
+        return null_double() if default is None else default
+    return expr if default is None else expr.otherwise(default)
 
 
 # --- provenance -------------------------------------------------------------------------------

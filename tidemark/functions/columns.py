@@ -55,8 +55,8 @@ def robust_tanh(x: Column, center: float, width: float) -> Column:
     return F.tanh((x - F.lit(center)) / F.lit(width))
 
 
-def signed_power(x: Column, power: float) -> Column:
-    return F.signum(x) * F.pow(F.abs(x), F.lit(power))
+def signed_power(x: Column, power: float | Column) -> Column:
+    return F.signum(x) * F.pow(F.abs(x), power if isinstance(power, Column) else F.lit(power))
 
 
 def asymmetry(left: Column, right: Column, epsilon: float = cfg.EPSILON) -> Column:

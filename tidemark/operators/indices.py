@@ -244,31 +244,44 @@ def _modern_components(df: DataFrame, version: str, mode: str) -> DataFrame:
     return _q_regimes(df, mode, some)
 
 
-def _q_contrast(df: DataFrame, mode: str, some: Column) -> DataFrame:
-    p, a, g, v = cfg.V5, F.col("A"), F.col("Gamma"), F.col("V")
-    zero = L(0.0)
+def contrast_q(df: DataFrame, lin: Column, p: dict[str, Column]) -> tuple[DataFrame, Column]:
+    """V5 physiological Q from A, Gamma, V; missing parts count as 0."""
+    a, g, v, zero = F.col("A"), F.col("Gamma"), F.col("V"), L(0.0)
     df = df.withColumns({
-        "q_lin": fx.null_sum([L(0.50) * a, L(0.42) * v, L(-0.30) * g]),
+        "q_lin": lin,
         "q_a": fx.signed_power(a, p["q_signed_power"]),
         "q_v": fx.signed_power(v, p["q_signed_power"]),
         "q_g": fx.signed_power(g, 1.05),
-        "q_coh": F.coalesce(a * v - L(p["q_mismatch_penalty"]) * F.abs(a - v), zero)
-        - L(p["q_gamma_penalty"]) * F.coalesce(fx.positive(g), zero),
+        "q_coh": F.coalesce(a * v - p["q_mismatch_penalty"] * F.abs(a - v), zero)
+        - p["q_gamma_penalty"] * F.coalesce(fx.positive(g), zero),
     })
     qa, qv, qg = F.col("q_a"), F.col("q_v"), F.col("q_g")
     conflict = F.coalesce(F.abs(qa - qv), zero) + F.coalesce(
-        L(p["q_gamma_v_penalty"]) * fx.positive(qg) * (L(1.0) - fx.positive(qv)), zero
+        p["q_gamma_v_penalty"] * fx.positive(qg) * (L(1.0) - fx.positive(qv)), zero
     )
     energy = F.coalesce(L(0.5) * (F.abs(qa) + F.abs(qv)), zero)
     q = F.tanh(
-        L(p["q_linear_gain"]) * F.col("q_lin")
-        + L(p["q_coherence_gain"]) * F.col("q_coh")
-        + L(p["q_synergy_gain"]) * F.coalesce(fx.signed_root(qa, qv), zero)
-        + L(p["q_energy_gain"]) * energy * F.signum(F.col("q_lin"))
-        - L(p["q_conflict_gain"]) * conflict
+        p["q_linear_gain"] * F.col("q_lin")
+        + p["q_coherence_gain"] * F.col("q_coh")
+        + p["q_synergy_gain"] * F.coalesce(fx.signed_root(qa, qv), zero)
+        + p["q_energy_gain"] * energy * F.signum(F.col("q_lin"))
+        - p["q_conflict_gain"] * conflict
     )
+    return df, q
+
+
+V5_PARAMS = {k: v for k, v in cfg.V5.items()}
+
+
+def v5_params() -> dict[str, Column]:
+    return {k: L(float(v)) for k, v in V5_PARAMS.items()}
+
+
+def _q_contrast(df: DataFrame, mode: str, some: Column) -> DataFrame:
+    lin = fx.null_sum([L(0.50) * F.col("A"), L(0.42) * F.col("V"), L(-0.30) * F.col("Gamma")])
+    df, q = contrast_q(df, lin, v5_params())
     anchor = lambda val, aro: F.tanh(L(2.4) * (L(0.65) * val + L(0.35) * (L(1.0) - aro) - L(0.5)))
-    return _finish_q(df, mode, q, anchor, L(p["q_proxy_weight"]), anchor_alone=True, guard=some)
+    return _finish_q(df, mode, q, anchor, L(cfg.V5["q_proxy_weight"]), anchor_alone=True, guard=some)
 
 
 def shaped(prefix: str, a: Column, g: Column, v: Column, q: Column | None = None) -> dict[str, Column]:
@@ -450,9 +463,9 @@ def _mixture(df: DataFrame, names: list[str], params: dict[str, Column], scratch
     return df.withColumns(scores).drop(*scratch, *cols, *gates)
 
 
-def contrast_scores(df: DataFrame, probes: dict[str, dict[str, str]]) -> DataFrame:
+def contrast_scores(df: DataFrame, probes: dict[str, dict[str, str]], params: dict[str, Column] | None = None) -> DataFrame:
     """V5 mix of logistic core and contrast layer; probe columns: a, g, v, q and the linear core."""
-    p, cols, scratch = cfg.V5, {}, []
+    p, cols, scratch = params or v5_params(), {}, []
     for n, src in probes.items():
         z = lambda key: F.coalesce(F.col(src[key]), L(0.0))
         cols |= {f"{n}_{k}": fx.signed_power(z(k), p["output_signed_power"]) for k in ("a", "v", "q")}
@@ -463,7 +476,7 @@ def contrast_scores(df: DataFrame, probes: dict[str, dict[str, str]]) -> DataFra
     for n in probes:
         a, v, q = (F.col(f"{n}_{k}") for k in ("a", "v", "q"))
         cols |= {
-            f"{n}_ctr": L(0.14) * a - L(0.08) * F.col(f"{n}_gr") + L(0.22) * v + L(0.56) * q - L(p["output_center"]),
+            f"{n}_ctr": L(0.14) * a - L(0.08) * F.col(f"{n}_gr") + L(0.22) * v + L(0.56) * q - p["output_center"],
             f"{n}_syn": fx.signed_root(a, v) + L(0.8) * fx.signed_root(q, v),
             f"{n}_cfl": F.abs(a - v) + L(0.75) * F.abs(q - v),
             f"{n}_nrg": F.sqrt((a * a + v * v + q * q) / L(3.0)),
@@ -475,18 +488,18 @@ def contrast_scores(df: DataFrame, probes: dict[str, dict[str, str]]) -> DataFra
         ctr, syn, cfl, nrg = (F.col(f"{n}_{k}") for k in ("ctr", "syn", "cfl", "nrg"))
         brake = fx.positive(F.col(f"{n}_gr"))
         drive = (
-            L(p["output_gain"]) * ctr
-            + L(p["output_curve"]) * ctr * ctr * ctr
-            + L(p["output_balance_coupling"]) * (F.col(f"{n}_qr") - F.col(f"{n}_vr"))
-            - L(p["output_gamma_brake"]) * brake
-            + L(p["output_regime_gain"]) * syn
-            + L(p["output_energy_gain"]) * nrg * F.signum(ctr)
-            - L(p["output_conflict_gain"]) * cfl
-            - L(p["output_gamma_cross_penalty"]) * brake * (L(1.0) - fx.positive(F.col(f"{n}_vr")))
+            p["output_gain"] * ctr
+            + p["output_curve"] * ctr * ctr * ctr
+            + p["output_balance_coupling"] * (F.col(f"{n}_qr") - F.col(f"{n}_vr"))
+            - p["output_gamma_brake"] * brake
+            + p["output_regime_gain"] * syn
+            + p["output_energy_gain"] * nrg * F.signum(ctr)
+            - p["output_conflict_gain"] * cfl
+            - p["output_gamma_cross_penalty"] * brake * (L(1.0) - fx.positive(F.col(f"{n}_vr")))
         )
         base = fx.sigmoid(F.col(src["core"]) + L(0.22) * syn - L(0.10) * cfl)
         mix = p["output_contrast_mix"]
-        cols[f"score_{n}"] = fx.clip(L(1.0 - mix) * base + L(mix) * (L(0.5) + L(0.5) * F.tanh(drive)))
+        cols[f"score_{n}"] = fx.clip((L(1.0) - mix) * base + mix * (L(0.5) + L(0.5) * F.tanh(drive)))
     return df.withColumns(cols).drop(*scratch)
 
 

@@ -226,14 +226,19 @@ def across_folds(per_fold: DataFrame) -> DataFrame:
         F.avg("objective").alias("objective_mean"), F.stddev_pop("objective").alias("objective_std"), *[F.avg(p).alias(f"{p}_mean") for p in parts])
 
 
-def evaluate_candidates(features: DataFrame, candidates: DataFrame, version: str, trials: int, *, folds: int = 4, base: str = "global") -> DataFrame:
-    """Whole search: base calibration (global or per training fold), all candidates, all folds."""
+def evaluate_candidates(features: DataFrame, candidates: DataFrame, version: str, trials: int, *, folds: int = 4, base: str = "global", staging=None) -> DataFrame:
+    """Whole search: base calibration (global or per training fold), all candidates, all folds.
+
+    staging (a function DataFrame, name -> DataFrame) keeps the scored rows for the several aggregates.
+    """
     rows = transforms(features).join(subject_folds(features, folds), "subject_id")
     if base == "global":
         rows = with_single_row(rows, base_calibration(rows, []))
     else:
         rows = rows.join(training_base(rows, max(folds, 2)), "fold")
     scored = score_candidates(rows, build_params(candidates, version), version, trials)
+    if staging is not None:
+        scored = staging(scored, "candidates")
     return across_folds(objective(scored, ["trial_index", "fold"]))
 
 

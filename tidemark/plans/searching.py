@@ -56,20 +56,20 @@ def _scores(version):
 
 def _search(version, base):
     def run(spark, sf_dir):
-        return finish(se.evaluate_candidates(features(spark, sf_dir), candidates(spark, version, 3), version, 3, folds=4, base=base))
+        return finish(se.evaluate_candidates(features(spark, sf_dir), candidates(spark, version, 3), version, 3, folds=4, base=base, staging=stage))
 
     return run
 
 
 def top_candidates(spark, sf_dir):
     """Two best candidates."""
-    return finish(se.top_candidates(se.evaluate_candidates(features(spark, sf_dir), candidates(spark, "V5", 4), "V5", 4), 2))
+    return finish(se.top_candidates(se.evaluate_candidates(features(spark, sf_dir), candidates(spark, "V5", 4), "V5", 4, staging=stage), 2))
 
 
 def random_search(spark, sf_dir):
     """Random candidates through the whole search (random stream, rows only)."""
     c = se.random_candidates(spark, "V5", 4)
-    return finish(se.top_candidates(se.evaluate_candidates(features(spark, sf_dir), c, "V5", 4), 4))
+    return finish(se.top_candidates(se.evaluate_candidates(features(spark, sf_dir), c, "V5", 4, staging=stage), 4))
 
 
 def _capacity(compared):

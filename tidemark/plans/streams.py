@@ -132,7 +132,7 @@ def dynamic_notes(spark, sf_dir):
 def cluster_search(spark, sf_dir):
     """K-means and mixtures with bootstrap, scored, consensus and verdict."""
     df = results(spark, sf_dir, "hybrid", ("V4",)).where("score is not null")
-    table_ = cl.candidates(df, SPACE, ks=(2, 3), iterations=1, restarts=1)
+    table_ = cl.candidates(df, SPACE, ks=(2,), iterations=1, restarts=1)
     scored = cl.score_candidates(table_.withColumn("version", L("V4")), ["version"])
     top = cl.consensus(scored, ["version"]).withColumn("label_set_size", L(2))
     return finish(cl.verdict(top))

@@ -93,13 +93,21 @@ def _trace(names: list[str], guard: Column | None = None) -> tuple[list[Column],
     return [keep(F.col(f"gp_{n}")) for n in names], [keep(F.col(f"gs_{n}")) for n in names]
 
 
-def _put(name: str, value: Column, provs: list[Column], sources: list[Column]) -> dict[str, Column]:
-    """Value, provenance and source of a component; all unavailable when the value is missing."""
-    return {
-        name: value,
-        f"prov_{name}": F.when(value.isNotNull(), fx.merge_provenance(provs)).otherwise("unavailable"),
-        f"source_{name}": F.when(value.isNotNull(), fx.merge_sources(sources)).otherwise(""),
-    }
+def _put(name: str, value: Column, provs: list[Column], sources: list[Column]) -> dict:
+    """A component with the traces of its parts, to be placed by ``_assign``."""
+    return {name: (value, provs, sources)}
+
+
+def _assign(df: DataFrame, cols: dict) -> DataFrame:
+    """Adds values first and then provenance and source, so that no value is computed twice."""
+    df = df.withColumns({n: c[0] if isinstance(c, tuple) else c for n, c in cols.items()})
+    traces = {}
+    for n, c in cols.items():
+        if isinstance(c, tuple):
+            known = F.col(n).isNotNull()
+            traces[f"prov_{n}"] = F.when(known, fx.merge_provenance(c[1])).otherwise("unavailable")
+            traces[f"source_{n}"] = F.when(known, fx.merge_sources(c[2])).otherwise("")
+    return df.withColumns(traces) if traces else df
 
 
 def _absent(name: str) -> dict[str, Column]:
@@ -154,13 +162,13 @@ def _early_components(df: DataFrame, version: str, mode: str) -> DataFrame:
                      provs + [L("proxy")], [sources[0], sources[1], F.col("x_cortisol_src"), sources[2]])
     else:
         cols |= _absent("K")
-    df = df.withColumns(cols)
+    df = _assign(df, cols)
     gain = F.col("K") if version == "V3" else L(1.0)
     h = gain * F.col("x_dopamine") / L(50.0) - F.col("x_cortisol") / L(15.0)
     sources = [F.col("x_dopamine_src"), F.col("x_cortisol_src")]
     if version == "V3":
         sources = [F.col("source_K")] + sources
-    return df.withColumns(_put("H", h, [L("proxy")], sources))
+    return _assign(df, _put("H", h, [L("proxy")], sources))
 
 
 def _calibrated_terms(df: DataFrame) -> DataFrame:
@@ -232,8 +240,7 @@ def _modern_components(df: DataFrame, version: str, mode: str) -> DataFrame:
     gamma = F.tanh(fx.null_sum([L(0.30) * F.col("t_gamma"), L(0.70) * F.col("t_burden")]))
     v = F.coalesce(F.tanh(L(0.80) * F.col("t_hr") + L(0.20) * F.col("t_hrv")), F.col("t_hr"), F.col("t_hrv"))
     tr = _traces_agv()
-    df = df.withColumns(_put("A", a, *tr["A"]) | _put("Gamma", gamma, *tr["Gamma"]) | _put("V", v, *tr["V"]))
-    df = df.withColumns(_absent("H") | _absent("K"))
+    df = _assign(df, _put("A", a, *tr["A"]) | _put("Gamma", gamma, *tr["Gamma"]) | _put("V", v, *tr["V"]) | _absent("H") | _absent("K"))
     some = F.col("A").isNotNull() | F.col("Gamma").isNotNull() | F.col("V").isNotNull()
     if version == "V4":
         q = F.tanh(fx.null_sum([L(0.55) * F.col("A"), L(0.45) * F.col("V"), L(-0.25) * F.col("Gamma")]))
@@ -336,7 +343,7 @@ def _structural_components(df: DataFrame, mode: str) -> DataFrame:
     cols = {}
     for name, key in (("A", "a"), ("Gamma", "g"), ("V", "v")):
         cols |= _put(name, F.tanh(params["component_gain"] * c(f"r_{key}")), *tr[name])
-    df = df.withColumns(cols | _absent("H") | _absent("K"))
+    df = _assign(df, cols | _absent("H") | _absent("K"))
     a, g, v = c("A"), c("Gamma"), c("V")
     some = a.isNotNull() | g.isNotNull() | v.isNotNull()
     df = df.withColumns({

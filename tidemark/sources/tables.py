@@ -8,7 +8,13 @@ from tidemark.sources import fixture_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan of a table; a table of fewer files than cores is spread so that every core has work.
+
+    Tables with enough files (any large one) are read as they are, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

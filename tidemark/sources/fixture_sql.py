@@ -117,7 +117,7 @@ _VIEWS["fx_label_track"] = (
 _VIEWS["fx_beats"] = (
     """
     select concat('B', cast(INTDIV(event_id, 64) as varchar(20))) as segment_id, event_id % 64 as beat,
-      25e-2 + cast((event_id * 37) % 101 as double) / 97e0 as rr
+      25137e-5 + cast((event_id * 37) % 101 as double) / 97e0 as rr
     from {events}
     """,
     ("events",),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from tidemark.llm.chat import OP7_SQL, op7_chat_formatting
 from tidemark.llm.topk import OP5_SQL, op5_exact_topk
 
 QUERIES = {
     "op5_exact_topk": op5_exact_topk,
+    "op7_chat_formatting": op7_chat_formatting,
 }
 
 ORACLES = {
     "op5_exact_topk": OP5_SQL,
+    "op7_chat_formatting": OP7_SQL,
 }

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tidemark.llm.chat import OP7_SQL, op7_chat_formatting
+from tidemark.llm.simhash import op8_simhash_dedup
 from tidemark.llm.topk import OP5_SQL, op5_exact_topk
 
 QUERIES = {
     "op5_exact_topk": op5_exact_topk,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_simhash_dedup": op8_simhash_dedup,
 }
 
 ORACLES = {

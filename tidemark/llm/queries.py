@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from tidemark.llm.chat import OP7_SQL, op7_chat_formatting
+from tidemark.llm.decontam import OP1_SQL, op1_decontamination
 from tidemark.llm.simhash import op8_simhash_dedup
 from tidemark.llm.topk import OP5_SQL, op5_exact_topk
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op5_exact_topk": op5_exact_topk,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_simhash_dedup": op8_simhash_dedup,
 }
 
 ORACLES = {
+    "op1_decontamination": OP1_SQL,
     "op5_exact_topk": OP5_SQL,
     "op7_chat_formatting": OP7_SQL,
 }

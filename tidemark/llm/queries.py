@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.chat import OP7_SQL, op7_chat_formatting
 from tidemark.llm.decontam import OP1_SQL, op1_decontamination
+from tidemark.llm.language import op6_language_id
 from tidemark.llm.packing import op3_best_fit_packing
 from tidemark.llm.simhash import op8_simhash_dedup
 from tidemark.llm.topk import OP5_SQL, op5_exact_topk
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_exact_topk": op5_exact_topk,
+    "op6_language_id": op6_language_id,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_simhash_dedup": op8_simhash_dedup,
 }

@@ -126,7 +126,7 @@ def near_links(prints: DataFrame, radius: int = 3, direct: int = DIRECT) -> Data
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, text_hash, fp, component_id for every row of ``docs``.
+    """doc_id, text_hash, fp, root (the component's fingerprint), component_id for every row of ``docs``.
 
     Rows whose fingerprints differ in at most ``radius`` bits are linked, and component_id is the smallest doc_id
     reachable. Null and empty texts have fingerprint zero and are linked like any other; repeated rows are kept;
@@ -138,9 +138,24 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFram
     roots = components(near_links(nodes.select("fp"), radius))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
+    return prints.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     groups = simhash_groups(own_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="long", text="string"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+    """One document of each near-duplicate group, the one of least doc_id; all columns stay.
+
+    Rows with a null doc_id come after all others. Among repeated rows (same doc_id and text) one stays. The rows that
+    stay are named by (doc_id, hash of the text) and met in one join.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")).alias("first")
+    kept = simhash_groups(docs, width, radius).groupBy("root").agg(first).select("first.*").distinct()
+    names = iter(n for n in (f"_kept_{i}" for i in range(99)) if n not in docs.columns)
+    no_id, id_, text_hash = (next(names) for _ in range(3))
+    keyed = docs.withColumns({no_id: docs["doc_id"].isNull(), id_: F.coalesce(docs["doc_id"], F.lit(0)), text_hash: F.xxhash64(docs["text"])})
+    kept = kept.toDF(no_id, id_, text_hash)
+    return keyed.join(kept, [no_id, id_, text_hash], "left_semi").dropDuplicates([no_id, id_, text_hash]).drop(no_id, id_, text_hash)

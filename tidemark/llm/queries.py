@@ -7,6 +7,7 @@ from tidemark.llm.decontam import OP1_SQL, op1_decontamination
 from tidemark.llm.language import op6_language_id
 from tidemark.llm.packing import op3_best_fit_packing
 from tidemark.llm.simhash import op8_simhash_dedup
+from tidemark.llm.tokencount import op9_token_counts
 from tidemark.llm.topk import OP5_SQL, op5_exact_topk
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLES = {

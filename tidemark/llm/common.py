@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,3 +55,14 @@ def own_columns(df: DataFrame, **kinds: str) -> DataFrame:
 
 def int_column(values, kind=np.int64) -> pa.Array:
     return pa.array(np.asarray(values, kind))
+
+
+def packed(values, kind: str = "<u4") -> bytes:
+    """Unsigned numbers, compressed by byte planes."""
+    a = np.ascontiguousarray(values, kind)
+    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
+
+
+def unpacked(data: bytes, kind: str = "<u4") -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()

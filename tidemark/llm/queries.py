@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.chat import OP7_SQL, op7_chat_formatting
 from tidemark.llm.decontam import OP1_SQL, op1_decontamination
 from tidemark.llm.language import op6_language_id
+from tidemark.llm.lm import op10_lm_scoring
 from tidemark.llm.packing import op3_best_fit_packing
 from tidemark.llm.simhash import op8_simhash_dedup
 from tidemark.llm.tokencount import op9_token_counts
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES = {

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import own_columns, task_base
+from tidemark.llm.common import own_columns, packed, task_base, unpacked
 from tidemark.plans.staging import stage
 
 LIMIT = 2048
 BLOCK_BYTES = 1 << 24
 #: Unicode's white space, which the tokenizer's pattern means by a blank; no pre-token crosses one.
-_BLANK = re.compile("[\t-\r \u0085   -     　]+")
+_BLANK = re.compile("[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
 _CACHED, _CACHED_CHARS = 150_000, 48
 
@@ -83,15 +82,6 @@ def _loaded(path: str) -> PreTokens:
     return _LOADED[path]
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """32-bit numbers, compressed by byte planes."""
-    return zlib.compress(np.ascontiguousarray(np.asarray(values, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
 _BLOCK = "block long, doc_ids array<long>, sizes array<long>, held binary, entries binary, times binary, vocabulary array<string>"
 
 
@@ -106,7 +96,7 @@ def _block_batches(path: str, block_bytes: int):
         vocabulary: dict[str, int] = {}
 
         def flush() -> pa.RecordBatch:
-            row = {"block": block, "doc_ids": docs, "sizes": sizes, "held": _packed(held), "entries": _packed(np.concatenate(entries)), "times": _packed(np.concatenate(times)), "vocabulary": list(vocabulary)}
+            row = {"block": block, "doc_ids": docs, "sizes": sizes, "held": packed(held), "entries": packed(np.concatenate(entries)), "times": packed(np.concatenate(times)), "vocabulary": list(vocabulary)}
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
             return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row.values(), kinds)], list(row))
 
@@ -150,7 +140,7 @@ def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = batch.column("counts")[i].values
             counts = np.zeros(len(got), np.int64)
             counts[np.asarray(got.field("at"))] = np.asarray(got.field("n_pieces"))
-            held, entries, times = (_unpacked(batch.column(c)[i].as_py()) for c in ("held", "entries", "times"))
+            held, entries, times = (unpacked(batch.column(c)[i].as_py()).astype(np.int64) for c in ("held", "entries", "times"))
             owner = np.repeat(np.arange(len(held)), held)
             steps = np.cumsum(entries)
             first = np.cumsum(held) - held

@@ -22,7 +22,7 @@ _cols = [f"{k}_{t}" for t in T for k in "cs"]
 FOLD = TR + [("sf", "select subject_id, (row_number() over (order by subject_id) - 1) % 4 as fold from (select distinct subject_id from fx)"), ("xf", "select * from xt join sf using (subject_id)")]
 BASES = {
     "train": [("bs", f"select f.fold, {_cal} from (select unnest(range(0, 4)) as fold) f join xf on xf.fold <> f.fold group by f.fold"), ("xb", "select * from xf join bs using (fold)")],
-    "global": [("bs", f"select {_cal} from xf"), ("xb", "select * from xf, bs")],
+    "global": [("xb", "select *, " + ", ".join(f"{num(c)} as c_{t}, {num(s)} as s_{t}" for t, (c, s) in cfg.CALIBRATION.items()) + " from xf")],
 }
 
 

@@ -10,13 +10,13 @@ from tidemark.functions import columns as fx
 from tidemark.functions.structural import Spec, staged
 from tidemark.operators import indices as ix
 from tidemark.operators.compare import pooled_d
-from tidemark.operators.ordered import exact_quantiles, with_position, with_single_row
+from tidemark.operators.ordered import exact_quantiles, with_position
 from tidemark.operators.separation import epsilon_squared, kruskal
+from tidemark.plans.staging import stage
 
 L = F.lit
 TRANSFORMS = ("alpha_asymmetry", "total_asymmetry", "gamma_log", "gamma_alpha_log", "heart_rate", "hf_lf_log")
 LABELS = ("baseline", "disbalance", "stress")
-MAX_CANDIDATES = 100_000
 
 # Uniform ranges of the searched parameters.
 V5_RANGES = {
@@ -44,8 +44,6 @@ RANGES = {"V5": V5_RANGES, "V7": V7_RANGES}
 
 def random_candidates(spark: SparkSession, version: str, trials: int, seed: int = 42) -> DataFrame:
     """Uniform candidates; the stream of numbers is Spark's, so only its properties can be checked."""
-    if trials > MAX_CANDIDATES:
-        raise ValueError("too many candidates for one search job")
     cols = [(L(lo) + L(hi - lo) * F.rand(seed + i)).alias(n) for i, (n, (lo, hi)) in enumerate(RANGES[version].items())]
     return spark.range(0, trials, 1, 1).select(F.col("id").alias("trial_index"), *cols)
 
@@ -63,9 +61,12 @@ def build_params(candidates: DataFrame, version: str) -> DataFrame:
 
 
 def subject_folds(rows: DataFrame, folds: int) -> DataFrame:
-    """Round-robin fold per subject in id order (at least two folds)."""
-    subjects = rows.select("subject_id").distinct().withColumn("_all", L(0))
-    ranked = with_position(subjects, ["_all"], ["subject_id"], F.ascii("subject_id") * L(256) + F.ascii(F.substring("subject_id", 2, 1)), "place")
+    """Round-robin fold per subject in id order (at least two folds).
+
+    A range partitioning of the ids gives the buckets; it is staged, as its borders come from a sample.
+    """
+    dealt = rows.select("subject_id").distinct().repartitionByRange("subject_id").withColumns({"_part": F.spark_partition_id(), "_all": L(0)})
+    ranked = with_position(stage(dealt, "subjects"), ["_all"], ["subject_id"], F.col("_part"), "place").drop("_part")
     return ranked.select("subject_id", (F.col("place") % max(folds, 2)).alias("fold"))
 
 
@@ -180,12 +181,10 @@ SCORERS = {"V5": score_v5, "V7": score_v7}
 
 
 def score_candidates(rows: DataFrame, params: DataFrame, version: str, trials: int) -> DataFrame:
-    """Every row under every candidate. The parameter table has ``trials`` rows, which is checked."""
-    if trials > MAX_CANDIDATES:
-        raise ValueError("too many candidates for one search job")
+    """Every row under every candidate 0..trials-1: an equi-join on the candidate, which the planner broadcasts if it is small."""
     keep = ["fold", "label", "subject_id", "segment_id", *[f"x_{t}" for t in TRANSFORMS], *[f"{k}_{t}" for k in "cs" for t in TRANSFORMS]]
     wide = rows.select(*keep, F.explode(F.sequence(L(0).cast("long"), L(trials - 1).cast("long"))).alias("trial_index"))
-    scored = SCORERS[version](wide.join(F.broadcast(params), "trial_index"))
+    scored = SCORERS[version](wide.join(params, "trial_index"))
     return fx.fence(scored.select("trial_index", "fold", "label", "segment_id", "A", "Gamma", "V", "Q", "score"))
 
 
@@ -227,13 +226,13 @@ def across_folds(per_fold: DataFrame) -> DataFrame:
 
 
 def evaluate_candidates(features: DataFrame, candidates: DataFrame, version: str, trials: int, *, folds: int = 4, base: str = "global", staging=None) -> DataFrame:
-    """Whole search: base calibration (global or per training fold), all candidates, all folds.
+    """Whole search: base calibration (global: the fixed one; else fitted per training fold), all candidates, all folds.
 
     staging (a function DataFrame, name -> DataFrame) keeps the scored rows for the several aggregates.
     """
     rows = transforms(features).join(subject_folds(features, folds), "subject_id")
     if base == "global":
-        rows = with_single_row(rows, base_calibration(rows, []))
+        rows = rows.withColumns({f"{k}_{t}": L(float(x)) for t in TRANSFORMS for k, x in zip("cs", cfg.CALIBRATION[t])})
     else:
         rows = rows.join(training_base(rows, max(folds, 2)), "fold")
     scored = score_candidates(rows, build_params(candidates, version), version, trials)

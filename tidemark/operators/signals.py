@@ -173,11 +173,13 @@ def rr_spectrum(rr: pd.Series) -> pd.Series:
 # --- feature tables ---------------------------------------------------------------------------
 
 def channel_powers(signals: DataFrame) -> DataFrame:
-    """Band powers per segment and channel with the hemisphere of the channel."""
+    """Band powers per segment and channel with the hemisphere that the dataset's montage gives the channel.
+
+    A channel that the montage lacks, and every channel of a dataset without one, is on no side ("mid").
+    """
     df = signals.withColumn("_p", band_powers("samples", "fs"))
-    digits = F.nullif(F.regexp_extract("channel", r"(\d+)", 1), L(""))
-    known = F.col("channel").isin(*{c for _, c, _, _ in cfg.channel_rows()})
-    side = F.when(digits.isNull() | ~known, "mid").when(digits.cast("int") % 2 == 1, "left").otherwise("right")
+    sides = F.create_map(*[L(x) for dataset, channel, _, s in cfg.channel_rows() for x in (f"{dataset}/{channel}", s)])
+    side = F.coalesce(F.try_element_at(sides, F.concat_ws("/", F.lower("dataset"), "channel")), L("mid"))
     return df.select("segment_id", "dataset", "channel", side.alias("side"), *[F.col("_p")[i].alias(b) for i, b in enumerate(("full", "alpha", "gamma"))])
 
 

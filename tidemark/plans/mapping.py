@@ -153,13 +153,13 @@ def dynamics_record(spark, sf_dir):
 def perturb_feature(spark, sf_dir):
     """Heart rate +15 over each record's default interval, rescored and re-run."""
     df = wi.perturb_feature(features(spark, sf_dir), "V4", "hybrid", "heart_rate", 15.0)
-    return finish(df)
+    return finish(df.drop("dataset", "mode", "version"))
 
 
 def perturb_component(spark, sf_dir):
     """Gamma scaled by 1.3 in a fixed interval, V6 rescored from components."""
     df = wi.perturb_component(results(spark, sf_dir, "hybrid", ("V6",)), "V6", "Gamma", 0.3, operation="scale", start=86400.0, end=10 * 86400.0)
-    return finish(df)
+    return finish(df.drop("dataset", "mode", "version"))
 
 
 def rescore(spark, sf_dir):

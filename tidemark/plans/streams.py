@@ -50,7 +50,7 @@ def _scores(spark, sf_dir):
 def causal_stream(spark, sf_dir):
     """Stateful causal update; rows wait for the watermark and are folded in order."""
     out = st.run_available(st.causal_stream(_scores(spark, sf_dir)), "causal")
-    return finish(out.drop("time_ms"))
+    return finish(out.drop("time_ms", "dataset", "mode", "version"))
 
 
 def preview(spark, sf_dir):

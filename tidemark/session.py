@@ -16,6 +16,7 @@ def local_session(name: str = "tidemark", cores: str = "8") -> SparkSession:
         .appName(name)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.tidemark.spread", cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
@@ -31,10 +32,12 @@ _LOCAL_FOLDER: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where none is set in local mode."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL_FOLDER:
         _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="tidemark-"))
     return _LOCAL_FOLDER[0]

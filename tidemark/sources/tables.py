@@ -8,13 +8,10 @@ from tidemark.sources import fixture_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of a table; a table of fewer files than cores is spread so that every core has work.
-
-    Tables with enough files (any large one) are read as they are, without a shuffle.
-    """
+    """Scan of a table. ``spark.tidemark.spread`` (set by local sessions only) deals a small single file out to cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    spread = spark.conf.get("spark.tidemark.spread", None)
+    return df.repartition(int(spread)) if spread else df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

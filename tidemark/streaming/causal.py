@@ -41,7 +41,7 @@ def label_sessions(events: DataFrame, gap: str, delay: str = "10 minutes") -> Da
     return out.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "user_id", "event_type", "n")
 
 
-OUTPUT_SCHEMA = "source_key string, segment_id string, time_ms long, score double, score_fast double, score_smooth_core double, dynamic_mode string, score_dynamic double"
+OUTPUT_SCHEMA = "dataset string, mode string, version string, source_key string, segment_id string, time_ms long, score double, score_fast double, score_smooth_core double, dynamic_mode string, score_dynamic double"
 STATE_SCHEMA = (
     "ewma_fast double, dynamic double, recent array<double>, steps array<double>, "
     "pending_ms array<long>, pending_id array<string>, pending array<array<double>>"
@@ -92,10 +92,11 @@ def update_record(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
             pending.extend((int(t), i, v) for t, i, v in rows if t > watermark)
     pending.sort(key=lambda r: (r[0], r[1]))
     out = []
-    while pending and pending[0][0] <= watermark:
-        t, i, row = pending.pop(0)
+    ready = sum(r[0] <= watermark for r in pending)
+    due, pending = pending[:ready], pending[ready:]
+    for t, i, row in due:
         fast, dynamic, recent, steps, core, mode = _advance(fast, dynamic, list(recent), list(steps), row)
-        out.append((key[0], i, t, row[0], fast, core, mode, dynamic))
+        out.append((*key, i, t, row[0], fast, core, mode, dynamic))
     state.update((fast, dynamic, list(recent), list(steps), [p[0] for p in pending], [p[1] for p in pending], [p[2] for p in pending]))
     if pending:
         state.setTimeoutTimestamp(max(pending[0][0], watermark + 1))
@@ -105,8 +106,8 @@ def update_record(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 def causal_stream(scores: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Stateful causal update per record over a stream of scores with an ``event_time`` column."""
     df = dy.prepare(scores).withColumn("time_ms", F.floor(F.col("window_start_sec") * 1000).cast("long"))
-    rows = df.select("source_key", "segment_id", "time_ms", "event_time", *_VALUES).withWatermark("event_time", delay)
-    return rows.groupBy("source_key").applyInPandasWithState(
+    rows = df.select(*dy.RECORD_KEYS, "segment_id", "time_ms", "event_time", *_VALUES).withWatermark("event_time", delay)
+    return rows.groupBy(*dy.RECORD_KEYS).applyInPandasWithState(
         update_record, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -61,3 +61,23 @@ def test_folds_follow_the_order_of_ids(spark):
     ids = ["Aɐx", "Bz", "Ca", "Zed", "Ж 1"] + [f"U{i:03d}" for i in range(40)]
     got = {r.subject_id: r.fold for r in se.subject_folds(spark.createDataFrame([(i,) for i in ids], "subject_id string"), 4).collect()}
     assert got == {s: i % 4 for i, s in enumerate(sorted(ids, key=str.encode))}
+
+
+def test_quantiles_and_ranks_with_outliers_and_null_groups(spark):
+    import numpy as np
+    from scipy_free_ranks import average_ranks as plain_ranks
+
+    from tidemark.operators import ordered as od
+
+    rng = np.random.default_rng(3)
+    groups = {"out": [*rng.random(3000), 1e8, -1e12], "tight": [*(rng.random(800) * 1e-9), *(1 + rng.random(800) * 1e-9)], None: [3.0, 1.0, 2.0], "same": [5.0] * 50, "one": [7.0]}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("one", None)], "g string, x double")
+    got = {r.g: (r.a, r.b) for r in od.exact_quantiles(df, ["g"], "x", {"a": 0.5, "b": 0.95}).collect()}
+    for g, xs in groups.items():
+        assert np.allclose(got[g], np.quantile(xs, [0.5, 0.95]), rtol=1e-12, atol=0)
+    rows, _ = od.value_bins(df, ["g"], "x", 4096)
+    assert rows.where("g in ('out', 'tight')").groupBy("g", "_bin").count().agg(F.max("count")).first()[0] <= 110
+    ranks = {(r.g, r.x): r["rank"] for r in od.average_ranks(df.withColumn("m", F.lit(1)), ["g"], ["m"], "x").collect()}
+    for g, xs in groups.items():
+        for x, rank in plain_ranks(xs).items():
+            assert ranks[g, x] == rank

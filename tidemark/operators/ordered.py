@@ -16,6 +16,12 @@ def with_single_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on key columns in which NULL meets NULL."""
+    theirs = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    return left.join(theirs, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], how).drop(*[f"_r_{k}" for k in keys])
+
+
 def with_position(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "pos") -> DataFrame:
     """Adds the 0-based rank of each row inside its key.
 
@@ -28,7 +34,7 @@ def with_position(df: DataFrame, keys: list[str], order: list[str], bucket: Colu
     base = counts.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_base"))
     local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
     return (
-        rows.join(base, [*keys, "_bucket"])
+        null_safe_join(rows, base, [*keys, "_bucket"])
         .withColumn(name, F.col("_base") + local - F.lit(1))
         .drop("_bucket", "_base")
     )
@@ -57,17 +63,38 @@ def running_total(df: DataFrame, keys: list[str], position: str, value: Column,
     before = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
     base = sums.select(*keys, "_c", F.coalesce(before, F.lit(0)).alias("_before"))
     local = F.sum("_v").over(Window.partitionBy(*keys, "_c").orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(base, [*keys, "_c"]).withColumn(name, F.col("_before") + local).drop("_c", "_v", "_before")
+    return null_safe_join(rows, base, [*keys, "_c"]).withColumn(name, F.col("_before") + local).drop("_c", "_v", "_before")
+
+
+#: Shares of a group at which its zones end: sixteenths, and thin zones at either end for outliers.
+KNOTS = (0.0005, 0.005, *(i / 16 for i in range(1, 16)), 0.995, 0.9995)
+ZONES = len(KNOTS) + 1
+
+
+def _knots(value: str) -> Column:
+    """Rough quantiles of a group: the borders of its zones. They only balance the bins; no result depends on them."""
+    return F.percentile_approx(value, list(KNOTS), 10_000).alias("_knots")
+
+
+def _bin(bins: int) -> Column:
+    """Non-decreasing bin of _v: its zone between rough quantiles, and an equal-width cell within the zone.
+
+    An outlier or a tight cluster takes a zone of its own kind and leaves the cells of the other rows as they are.
+    """
+    cells = max(bins // ZONES, 1)
+    zone = F.size(F.filter("_knots", lambda k: k <= F.col("_v")))
+    low = F.when(zone == 0, F.col("_lo")).otherwise(F.get("_knots", zone - 1))
+    high = F.when(zone == ZONES - 1, F.col("_hi")).otherwise(F.get("_knots", zone))
+    cell = F.floor(F.try_divide(F.col("_v") - low, high - low) * F.lit(cells))
+    return (zone * F.lit(cells) + F.coalesce(F.least(cell, F.lit(cells - 1)), F.lit(0))).cast("long")
 
 
 def value_bins(df: DataFrame, groups: list[str], value: str, bins: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with an equal-width bin between the group's extremes, and the extremes with counts."""
+    """Rows with their bin, and per group the extremes, zone borders and counts. NULL groups are groups."""
     rows = df.select(*groups, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    extent = rows.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    joined = rows.join(extent, groups)
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width) * F.lit(bins))
-    return joined.withColumn("_bin", F.coalesce(F.least(cell, F.lit(bins - 1)), F.lit(0)).cast("long")), extent
+    extent = rows.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"), _knots("_v"))
+    joined = null_safe_join(rows, extent, groups)
+    return joined.withColumn("_bin", _bin(bins)).drop("_knots"), extent
 
 
 def exact_quantiles(
@@ -99,12 +126,12 @@ def exact_quantiles(
     )
     needed = targets.select(*groups, "_bin").distinct()
     inside = (
-        rows.join(needed, [*groups, "_bin"], "left_semi").groupBy(*groups, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        null_safe_join(rows, needed, [*groups, "_bin"], "left_semi").groupBy(*groups, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
     by_value = Window.partitionBy(*groups, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_end", F.sum("_c").over(by_value)).withColumn("_start", F.col("_end") - F.col("_c"))
     picked = (
-        inside.join(targets, [*groups, "_bin"])
+        null_safe_join(inside, targets, [*groups, "_bin"])
         .where((F.col("_local") >= F.col("_start")) & (F.col("_local") < F.col("_end")))
         .groupBy(*groups, "q")
         .agg(
@@ -128,16 +155,14 @@ def average_ranks(df: DataFrame, groups: list[str], members: list[str], value: s
         df.select(*groups, *members, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
         .groupBy(*groups, *members, "_v").agg(F.count(F.lit(1)).alias("c"))
     )
-    extent = pooled.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("c").alias("n"))
-    joined = pooled.join(extent, groups)
-    cell = F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * F.lit(bins))
-    joined = joined.withColumn("_bin", F.coalesce(F.least(cell, F.lit(bins - 1)), F.lit(0)).cast("long"))
+    extent = pooled.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("c").alias("n"), _knots("_v"))
+    joined = null_safe_join(pooled, extent, groups).withColumn("_bin", _bin(bins)).drop("_knots")
     counts = joined.groupBy(*groups, "_bin").agg(F.sum("c").alias("_k"))
     before = F.sum("_k").over(Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select(*groups, "_bin", F.coalesce(before, F.lit(0)).alias("_base"))
     peers = Window.partitionBy(*groups, "_bin").orderBy("_v")
     upto = F.sum("c").over(peers)  # range frame: includes every row with the same value
     same = F.sum("c").over(Window.partitionBy(*groups, "_bin", "_v"))
-    out = joined.join(base, [*groups, "_bin"]).withColumn("ties", same).withColumn("_upto", F.col("_base") + upto)
+    out = null_safe_join(joined, base, [*groups, "_bin"]).withColumn("ties", same).withColumn("_upto", F.col("_base") + upto)
     rank = F.col("_upto") - F.col("ties") + (F.col("ties") + F.lit(1)) / F.lit(2.0)
     return out.select(*groups, *members, F.col("_v").alias(value), "c", "ties", rank.alias("rank"), "n")

@@ -105,7 +105,7 @@ ORACLES["p25_component_provenance"] = ctes(
 def _trace(v: str) -> str:
     t = f"{v}_hybrid".lower()
     n = (lambda k: num(cfg.V6[k])) if v == "V6" else sc.v7p
-    lev = lambda k, i: rx(f"{n(k + '_iis_base')} + {n(k + '_iis_amp')} * tanh(tx[{i}])", f"level_{k}")
+    lev = lambda k, i: rx(f"{n(k + '_score_base')} + {n(k + '_score_amp')} * tanh(tx[{i}])", f"level_{k}")
     return f"""select segment_id, '{v}' as version, {rx('f_t', 'score')},
         {', '.join(rx(f'tl[{i}]', f'logit_{k}') for i, k in ((1, 'reg'), (2, 'mob'), (3, 'dep')))},
         {', '.join(rx(f'tg[{i}]', f'gate_{k}') for i, k in ((1, 'reg'), (2, 'mob'), (3, 'dep')))},

@@ -196,12 +196,12 @@ V6 = {
     "mob_q_amp": 0.14,
     "dep_q_base": 0.18,
     "dep_q_amp": 0.16,
-    "reg_iis_base": 0.80,
-    "reg_iis_amp": 0.16,
-    "mob_iis_base": 0.54,
-    "mob_iis_amp": 0.12,
-    "dep_iis_base": 0.20,
-    "dep_iis_amp": 0.16,
+    "reg_score_base": 0.80,
+    "reg_score_amp": 0.16,
+    "mob_score_base": 0.54,
+    "mob_score_amp": 0.12,
+    "dep_score_base": 0.20,
+    "dep_score_amp": 0.16,
     "transition_entropy_weight": 0.08,
     "regime_balance_weight": 0.05,
     "conflict_penalty": 0.10,
@@ -217,12 +217,12 @@ V7 = {
     "q_coherence_penalty": 0.48,
     "q_gamma_penalty": 0.20,
     "gate_temperature": 1.55,
-    "reg_iis_base": 0.80,
-    "reg_iis_amp": 0.16,
-    "mob_iis_base": 0.53,
-    "mob_iis_amp": 0.12,
-    "dep_iis_base": 0.20,
-    "dep_iis_amp": 0.15,
+    "reg_score_base": 0.80,
+    "reg_score_amp": 0.16,
+    "mob_score_base": 0.53,
+    "mob_score_amp": 0.12,
+    "dep_score_base": 0.20,
+    "dep_score_amp": 0.15,
     "transition_entropy_weight": 0.08,
     "regime_balance_weight": 0.05,
     "conflict_penalty": 0.09,
@@ -237,12 +237,12 @@ V7_BY_DATASET = {
         "q_coherence_penalty": 0.7319484783158632,
         "q_gamma_penalty": 0.25866560912379244,
         "gate_temperature": 1.136308633470851,
-        "reg_iis_base": 0.8654101037471308,
-        "reg_iis_amp": 0.17480463463286533,
-        "mob_iis_base": 0.45896753729627837,
-        "mob_iis_amp": 0.13777127163378194,
-        "dep_iis_base": 0.1967023282007362,
-        "dep_iis_amp": 0.1415090086598715,
+        "reg_score_base": 0.8654101037471308,
+        "reg_score_amp": 0.17480463463286533,
+        "mob_score_base": 0.45896753729627837,
+        "mob_score_amp": 0.13777127163378194,
+        "dep_score_base": 0.1967023282007362,
+        "dep_score_amp": 0.1415090086598715,
         "transition_entropy_weight": 0.035697242886134434,
         "regime_balance_weight": 0.06219651310141984,
         "conflict_penalty": 0.05399045325613091,

@@ -390,11 +390,11 @@ def regime_scores(df: DataFrame, probes: dict[str, dict[str, str]], *, trace: bo
             f"{name}_l0": L(0.60) * q + L(0.45) * v + L(0.15) * a - L(0.30) * gp,
             f"{name}_l1": L(-0.05) * q + L(0.20) * v - L(0.55) * gp - L(0.08) * a,
             f"{name}_l2": L(-0.70) * q - L(0.55) * v - L(0.20) * a + L(0.35) * gp,
-            f"{name}_reg": L(p["reg_iis_base"]) + L(p["reg_iis_amp"]) * F.tanh(
+            f"{name}_reg": L(p["reg_score_base"]) + L(p["reg_score_amp"]) * F.tanh(
                 L(0.75) * q + L(0.55) * v + L(0.18) * a - L(0.25) * gp + L(0.25) * fx.signed_root(q, v)),
-            f"{name}_mob": L(p["mob_iis_base"]) + L(p["mob_iis_amp"]) * F.tanh(
+            f"{name}_mob": L(p["mob_score_base"]) + L(p["mob_score_amp"]) * F.tanh(
                 L(-0.08) * q + L(0.32) * v - L(0.52) * gp + L(0.08) * a),
-            f"{name}_dep": L(p["dep_iis_base"]) + L(p["dep_iis_amp"]) * F.tanh(
+            f"{name}_dep": L(p["dep_score_base"]) + L(p["dep_score_amp"]) * F.tanh(
                 L(-0.62) * q - L(0.52) * v - L(0.18) * a + L(0.38) * gp),
             f"{name}_conflict": F.abs(a - v) + L(0.75) * F.abs(q - v),
         }
@@ -430,10 +430,10 @@ def structural_regime_scores(
     for name in probes:
         a, v, q = (F.col(f"{name}_s{k}") for k in "avq")
         cols |= {
-            f"{name}_reg": params["reg_iis_base"] + params["reg_iis_amp"] * F.tanh(
+            f"{name}_reg": params["reg_score_base"] + params["reg_score_amp"] * F.tanh(
                 F.col(f"{name}_l0") + L(0.20) * fx.signed_root(q, v)),
-            f"{name}_mob": params["mob_iis_base"] + params["mob_iis_amp"] * F.tanh(F.col(f"{name}_l1")),
-            f"{name}_dep": params["dep_iis_base"] + params["dep_iis_amp"] * F.tanh(F.col(f"{name}_l2")),
+            f"{name}_mob": params["mob_score_base"] + params["mob_score_amp"] * F.tanh(F.col(f"{name}_l1")),
+            f"{name}_dep": params["dep_score_base"] + params["dep_score_amp"] * F.tanh(F.col(f"{name}_l2")),
             f"{name}_conflict": F.abs(a - v) + L(0.65) * F.abs(q - v),
         }
     scratch += list(cols) + [s.out for s in specs]

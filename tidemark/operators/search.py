@@ -33,9 +33,9 @@ V7_RANGES = {
     "weight_A": (0.10, 0.22), "weight_Gamma": (0.04, 0.12), "weight_V": (0.14, 0.32), "weight_Q": (0.38, 0.72),
     "temperature": (0.90, 3.20), "structure_weight": (0.10, 0.90), "energy_weight": (0.05, 0.60),
     "component_gain": (0.85, 1.80), "q_gain": (0.90, 3.00), "q_coherence_penalty": (0.20, 0.90),
-    "q_gamma_penalty": (0.05, 0.35), "gate_temperature": (0.90, 2.60), "reg_iis_base": (0.72, 0.90),
-    "reg_iis_amp": (0.08, 0.22), "mob_iis_base": (0.42, 0.62), "mob_iis_amp": (0.06, 0.18), "dep_iis_base": (0.10, 0.30),
-    "dep_iis_amp": (0.08, 0.22), "transition_entropy_weight": (0.02, 0.16), "regime_balance_weight": (0.00, 0.12),
+    "q_gamma_penalty": (0.05, 0.35), "gate_temperature": (0.90, 2.60), "reg_score_base": (0.72, 0.90),
+    "reg_score_amp": (0.08, 0.22), "mob_score_base": (0.42, 0.62), "mob_score_amp": (0.06, 0.18), "dep_score_base": (0.10, 0.30),
+    "dep_score_amp": (0.08, 0.22), "transition_entropy_weight": (0.02, 0.16), "regime_balance_weight": (0.00, 0.12),
     "conflict_penalty": (0.04, 0.18),
 }
 # End of fixed values.

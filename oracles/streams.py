@@ -16,10 +16,12 @@ ORACLES = {
         f"""select {rx(_sec('st'), 'start_s')}, {rx(_sec('st + interval 6 hour'), 'end_s')}, event_type, count(*) as n, {rx('avg(value)', 'mean_value')}, {rx('max(value)', 'max_value')}
         from b, wm where st + interval 6 hour <= w group by st, event_type"""),
     "w03_session_stream": ctes([_WM,
-        ("a", "select *, case when ts < lag(ts) over (partition by user_id, event_type order by ts) + interval 12 hour then 0 else 1 end as nw from events"),
-        ("b", "select *, sum(nw) over (partition by user_id, event_type order by ts) as sid from a"),
-        ("c", "select user_id, event_type, sid, min(ts) as st, max(ts) + interval 12 hour as en, count(*) as n from b group by all")],
-        f"select {rx(_sec('st'), 'start_s')}, {rx(_sec('en'), 'end_s')}, user_id, event_type, n from c, wm where en <= w"),
+        ("m", "select date_trunc('milliseconds', w) as w from wm"),
+        ("a", "select e.*, case when lag(event_type) over u is distinct from event_type or ts >= lag(ts) over u + interval 12 hour then 1 else 0 end as nw from events e, m where ts <= w window u as (partition by user_id order by ts, event_type)"),
+        ("b", "select *, sum(nw) over (partition by user_id order by ts, event_type rows unbounded preceding) as sid from a"),
+        ("c", "select user_id, any_value(event_type) as event_type, sid, min(ts) as st, max(ts) + interval 12 hour as ge, count(*) as n from b group by user_id, sid"),
+        ("d", "select *, lead(st) over (partition by user_id order by sid) as nx from c")],
+        f"select {rx(_sec('st'), 'start_s')}, {rx(_sec('least(ge, coalesce(nx, ge))'), 'end_s')}, user_id, event_type, n from d, m where nx is not null or ge <= w"),
     "w02_w04_causal_stream": ctes(results(["V4"], ["hybrid"]) + RES + [
         ("sm", "select max(window_start_sec) - 600e0 as w from res"), ("pr", "select *, cast(null as double) as RES_ from (" + _PREP.format(src="rm", extra="") + ")")] + dynamics("a", "pr"),
         f"select source_key, segment_id, {r('score', 'score_fast', 'score_smooth_core', 'score_dynamic')}, dynamic_mode from dyn_a, sm where floor(window_start_sec * 1000) <= floor(w * 1000)"),

@@ -34,7 +34,7 @@ def window_stream(spark, sf_dir):
 
 
 def session_stream(spark, sf_dir):
-    """Label sessions closed by the watermark."""
+    """Label runs per user that the watermark has closed."""
     out = st.run_available(st.label_sessions(_events(spark, sf_dir), "12 hours"), "sessions")
     return finish(out.select(_seconds("session_start").alias("start_s"), _seconds("session_end").alias("end_s"), "user_id", "event_type", "n"))
 
@@ -54,11 +54,13 @@ def causal_stream(spark, sf_dir):
 
 
 def preview(spark, sf_dir):
-    """Resource map of every micro-batch."""
+    """Resource map over all rows, as it stands after the last micro-batch."""
     folder = f"{shared_folder(spark)}/preview-out-{uuid.uuid4().hex}"
     query = st.live_preview(_scores(spark, sf_dir), lambda df, epoch: df.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}"))
     query.awaitTermination()
-    return finish(spark.read.parquet(folder).groupBy("state_map_4").agg(F.count(L(1)).alias("n")))
+    maps = spark.read.parquet(folder)
+    last = maps.agg(F.max("epoch")).first()[0]
+    return finish(maps.where(F.col("epoch") == last).groupBy("state_map_4").agg(F.count(L(1)).alias("n")))
 
 
 # --- clustering evidence ------------------------------------------------------------------------

@@ -34,11 +34,53 @@ def windowed_features(events: DataFrame, length: str, step: str, delay: str = "1
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "event_type", "n", "mean_value", "max_value")
 
 
+_RUN = "start_us long, end_us long, user_id long, event_type string, n long"
+_RUN_STATE = "label string, start long, last long, n long, pending_us array<long>, pending array<string>"
+
+
+def _session_update(gap_us: int):
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        label, start, last, n, times, labels = state.get if state.exists else (None, 0, 0, 0, [], [])
+        watermark = state.getCurrentWatermarkMs() * 1000
+        pending = list(zip(times, labels))
+        if not state.hasTimedOut:
+            for frame in batches:
+                pending.extend((int(t), x) for t, x in zip(frame["time_us"], frame["event_type"]) if t > watermark)
+        pending.sort(key=lambda p: (p[0], p[1] is not None, p[1] or ""))
+        due = [p for p in pending if p[0] <= watermark]
+        pending = pending[len(due):]
+        out = []
+        for t, x in due:
+            if n and (x != label or t >= last + gap_us):
+                out.append((start, min(last + gap_us, t), key[0], label, n))
+                n = 0
+            if not n:
+                label, start = x, t
+            last, n = t, n + 1
+        if n and last + gap_us <= watermark:
+            out.append((start, last + gap_us, key[0], label, n))
+            n = 0
+        if n or pending:
+            state.update((label, start, last, n, [p[0] for p in pending], [p[1] for p in pending]))
+            wake = min([p[0] for p in pending[:1]] + [last + gap_us] * bool(n))
+            state.setTimeoutTimestamp(max(wake // 1000, watermark // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _RUN.split(", ")])
+
+    return update
+
+
 def label_sessions(events: DataFrame, gap: str, delay: str = "10 minutes") -> DataFrame:
-    """Sessions of equal label per key; a gap in time ends a session."""
-    df = events.withWatermark("event_time", delay)
-    out = df.groupBy(F.session_window("event_time", gap), "user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return out.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "user_id", "event_type", "n")
+    """Runs of one label per user: another label or a gap in time ends a run.
+
+    Rows wait for the watermark and are taken in (time, label) order. A run is emitted once the row that ends it, or
+    the gap after its last row, is behind the watermark; its end is the earlier of both. Finished users leave no state.
+    """
+    gap_us = pd.Timedelta(gap) // pd.Timedelta(microseconds=1)
+    rows = events.withWatermark("event_time", delay).select("user_id", "event_type", "event_time", F.unix_micros("event_time").alias("time_us"))
+    runs = rows.groupBy("user_id").applyInPandasWithState(_session_update(int(gap_us)), _RUN, _RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return runs.select(F.timestamp_micros("start_us").alias("session_start"), F.timestamp_micros("end_us").alias("session_end"), "user_id", "event_type", "n")
 
 
 OUTPUT_SCHEMA = "dataset string, mode string, version string, source_key string, segment_id string, time_ms long, score double, score_fast double, score_smooth_core double, dynamic_mode string, score_dynamic double"
@@ -124,9 +166,14 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
 
 
 def live_preview(scores: DataFrame, sink: Callable[[DataFrame, int], None]) -> object:
-    """Per micro-batch: the resource map over the batch, handed to ``sink``."""
-    def each(batch: DataFrame, epoch: int) -> None:
-        sink(preview_map(batch), epoch)
+    """After each micro-batch: the resource map over all rows seen so far, handed to ``sink``.
 
+    Each batch is added to a running table in the shared folder under its epoch, so a repeated batch replaces itself.
+    """
     folder = f"{shared_folder(scores.sparkSession)}/preview-{uuid.uuid4().hex}"
-    return scores.writeStream.option("checkpointLocation", folder).foreachBatch(each).trigger(availableNow=True).start()
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+        sink(preview_map(batch.sparkSession.read.parquet(f"{folder}/rows").where(F.col("epoch") <= epoch).drop("epoch")), epoch)
+
+    return scores.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(each).trigger(availableNow=True).start()

@@ -34,10 +34,13 @@ def kw(src: str, group: str, label: str, value: str) -> list[tuple[str, str]]:
 
 
 _eps = "case when n > k then greatest((h - k + 1) / (n - k), 0e0) end"
+#: Chi-square tail by the series of the lower incomplete gamma function.
+_chi2 = """case when k > 1 and h > 0 then 1e0 - list_sum(list_transform(range(0, cast(400 + h as bigint)), lambda i: exp(((k - 1) / 2e0 + i) * ln(h / 2e0) - h / 2e0 - lgamma((k - 1) / 2e0 + i + 1))))
+    when k > 1 and h <= 0 then 1e0 end"""
 ORACLES = {
     "k01_labels": ctes(BASE, "select version, label, n, place from lb"),
     "k02_measures": ctes(BASE, "select version, measure, count(*) as n_values from ml group by all having measure = 'score' or count(*) >= 20"),
-    "k03_l07_kruskal": ctes(BASE + kw("ml", "version, measure", "label", "x"), f"select version, measure, n, k, smallest, {r('h')}, {rx(_eps, 'epsilon_squared')} from kh"),
+    "k03_l07_kruskal": ctes(BASE + kw("ml", "version, measure", "label", "x"), f"select version, measure, n, k, smallest, {r('h')}, {rx(_eps, 'epsilon_squared')}, {rx(_chi2, 'p_value')} from kh"),
     "k04_rank_sum": ctes(BASE + [("rk_", rank_cte("sd", "version, measure, pair_key", "x"))],
         f"""select version, measure, pair_key, count(*) filter (side = 'a') as n_a, count(*) filter (side = 'b') as n_b, {rx('sum(tie::double * tie - 1)', 'tie_term')},
         {rx("sum(rk) filter (side = 'a') - count(*) filter (side = 'a') * (count(*) filter (side = 'a') + 1) / 2e0", 'u')} from rk_ group by all"""),

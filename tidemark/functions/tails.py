@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import pandas as pd
@@ -26,19 +27,39 @@ def chi2_tail(x: float, df: int) -> float:
     return min(tail, 1.0)
 
 
+@functools.cache
+def _partition_numerator(m: int) -> tuple[int, list[int]]:
+    """(L, Q) with 1 / ((1-q) (1-q) (1-q^2) ... (1-q^m)) = Q(q) / (1-q^L)^(m+1), L the least common multiple of 1..m."""
+    period = math.lcm(*range(1, m + 1))
+    q = [1]
+    for part in (1, *range(1, m + 1)):
+        steps, out = period // part, [0] * (len(q) + period - part)
+        for k in range(steps):
+            for j, c in enumerate(q):
+                out[j + k * part] += c
+        q = out
+    return period, q
+
+
+def _partitions_up_to(k: int, m: int) -> int:
+    """Partitions of all numbers up to k into parts of at most m."""
+    period, q = _partition_numerator(m)
+    return sum(q[j] * math.comb((k - j) // period + m, m) for j in range(k % period, min(k + 1, len(q)), period)) if k >= 0 else 0
+
+
 def exact_u_tail(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact tail of the rank-sum statistic without ties, by counting arrangements."""
-    size = n1 * n2
-    counts = [1] + [0] * size
-    for j in range(n2 + 1, n2 + n1 + 1):
-        for k in range(size, j - 1, -1):
-            counts[k] -= counts[k - j]
-    for j in range(1, n1 + 1):
-        for k in range(j, size + 1):
-            counts[k] += counts[k - j]
-    total = sum(counts)
-    high = max(u, size - u)
-    return min(1.0, 2.0 * sum(counts[math.ceil(high):]) / total)
+    """Two-sided exact tail of the rank-sum statistic without ties.
+
+    Arrangements with U <= k are the coefficients of a Gaussian binomial: with m on the small side its numerator has
+    2^m terms, each a count of partitions, so nothing grows with the large side.
+    """
+    m, n = min(n1, n2), max(n1, n2)
+    k = n1 * n2 - math.ceil(max(u, n1 * n2 - u))
+    terms = [(1, 0)]
+    for i in range(1, m + 1):
+        terms += [(-sign, shift + n + i) for sign, shift in terms]
+    count = sum(sign * _partitions_up_to(k - shift, m) for sign, shift in terms if shift <= k)
+    return min(1.0, 2 * count / math.comb(n + m, m))
 
 
 @F.pandas_udf(T.DoubleType())

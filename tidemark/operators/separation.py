@@ -52,7 +52,8 @@ def kruskal(long: DataFrame, groups: list[str], label: str = "label", value: str
     n = F.col("n").cast("double")
     raw = L(12.0) / (n * (n + 1)) * F.col("s") - L(3.0) * (n + 1)
     h = F.try_divide(raw, L(1.0) - F.try_divide(F.col("tie_term"), n * n * n - n))
-    return tot.select(*groups, "n", "k", "smallest", h.alias("h"))
+    out = tot.select(*groups, "n", "k", "smallest", h.alias("h"))
+    return out.withColumn("p_value", F.when(F.col("h").isNotNull() & (F.col("k") > 1), tails.kruskal_p("h", "k")))
 
 
 def epsilon_squared(tests: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import config as cfg
 from tidemark.functions import columns as fx
@@ -177,22 +179,37 @@ def pair_aggregate(graded: DataFrame, keys: list[str], primary: str = "score") -
     return agg.withColumn("grade_score", score).withColumn("separation_grade", fx.by_key(F.col("grade_score"), GRADE_NAMES))
 
 
+def _largest_clique(labels: list[str], edges: set[tuple[str, str]]) -> list[str]:
+    """Depth-first over sets in label order; a branch that cannot beat the best is left."""
+    best: list[str] = []
+
+    def grow(chosen: list[str], open_: list[str]) -> None:
+        nonlocal best
+        if len(chosen) > len(best):
+            best = chosen
+        for i, x in enumerate(open_):
+            if len(chosen) + len(open_) - i <= len(best):
+                return
+            grow([*chosen, x], [y for y in open_[i + 1 :] if (x, y) in edges])
+
+    grow([], labels)
+    return best
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _clique(labels: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([_largest_clique(list(names), {*zip(a, b), *zip(b, a)}) for names, a, b in zip(labels, left, right)])
+
+
 def largest_supported_set(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Largest set of labels that are all mutually supported; the first one in label order wins.
 
-    Works on the supported pairs of one key (a handful of labels): every subset is a bit mask.
+    Works on the supported pairs of one key, which are bounded by its labels, never on its rows.
     """
     supported = pairs.where("pair_supported")
     ends = F.array(*[F.struct(label_place(F.col(c)).alias("k"), F.col(c).alias("label")) for c in ("label_a", "label_b")])
     packed = supported.groupBy(*keys).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(ends)))).alias("nodes"), F.collect_set("pair_key").alias("edges"))
-    packed = packed.select(*keys, "edges", F.transform("nodes", lambda x: x["label"]).alias("labels")).withColumn("n", F.size("labels"))
-    subset = F.expr("""
-        filter(sequence(1, cast(pow(2, n) as int) - 1), m -> forall(sequence(0, n - 2), i -> forall(sequence(i + 1, n - 1), j ->
-          (m & shiftleft(1, n - 1 - i)) = 0 or (m & shiftleft(1, n - 1 - j)) = 0
-          or array_contains(edges, concat(labels[i], '__', labels[j])) or array_contains(edges, concat(labels[j], '__', labels[i])))))""")
-    best = packed.withColumn("masks", subset)
-    ranked = F.expr("array_max(transform(masks, m -> struct(bit_count(m) as size, m as mask)))")
-    best = best.withColumn("best", ranked)
-    chosen = F.expr("filter(labels, (x, i) -> (best.mask & shiftleft(1, n - 1 - i)) <> 0)")
-    return best.select(*keys, F.col("best.size").cast("long").alias("set_size"), chosen.alias("labels"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(ends)))).alias("nodes"), F.array_sort(F.collect_set(F.struct("label_a", "label_b"))).alias("edges"))
+    labels = F.transform("nodes", lambda x: x["label"])
+    chosen = _clique(labels, F.transform("edges", lambda e: e["label_a"]), F.transform("edges", lambda e: e["label_b"]))
+    return packed.withColumn("labels", chosen).select(*keys, F.size("labels").cast("long").alias("set_size"), "labels")

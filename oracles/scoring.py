@@ -85,7 +85,7 @@ ORACLES["p21_explain"] = ctes(
                                    ("k", "select segment_id, x.n as name, row_number() over (partition by segment_id order by x.s desc, x.p desc) as rn from u where x.s is not null")],
     "select f.segment_id, coalesce(t.top, '') as top_contributors from fx f left join (select segment_id, string_agg(name, ',' order by rn) as top from k where rn <= 3 group by 1) t using (segment_id)")
 
-for _v, _m in (("V1", "proxy"), ("V5", "hybrid"), ("V6", "strict"), ("V7", "hybrid")):
+for _v, _m in (("V1", "proxy"), ("V2", "strict"), ("V3", "proxy"), ("V4", "hybrid"), ("V5", "hybrid"), ("V6", "strict"), ("V7", "hybrid")):
     ORACLES[f"p22_sensitivity_{_v.lower()}"] = ctes(
         results([_v], [_m], sens=True),
         f"select segment_id, version, {r('score', *[f'sens_{n}' for n in cfg.SENSITIVITY_COMPONENTS])} from res")
@@ -96,7 +96,7 @@ ORACLES["p23_p24_all_versions"] = ctes(
     {rx('avg(coverage_ratio)', 'mean_coverage')} from res group by all""")
 
 ORACLES["p25_component_provenance"] = ctes(
-    results(["V1", "V3", "V4", "V6"], ["proxy"]),
+    results(cfg.VERSIONS, ["proxy"]),
     " union all ".join(
         f"""select version, '{c}' as component, count(*) filter (prov_{c} = 'direct') as direct, count(*) filter (prov_{c} = 'proxy') as proxy,
         count(*) filter (prov_{c} = 'unavailable') as unavailable from res group by 1""" for c in cfg.COMPONENTS))
@@ -119,6 +119,6 @@ for _v in ("V6", "V7"):
 ORACLES["m08_gate_trace"] = ctes(FX + _tr, " union all by name ".join(_trace(v) for v in ("V6", "V7")))
 
 ORACLES["m10_best_rows"] = ctes(
-    results(["V1", "V4", "V6"], ["hybrid"]),
+    results(cfg.VERSIONS, ["hybrid"]),
     f"""select version, segment_id, {r('score', 'coverage_ratio')}, active_component_count from (
     select *, row_number() over (partition by version order by coverage_ratio desc nulls last, active_component_count desc, score desc nulls last, segment_id desc) as rn from res) where rn = 1""")

@@ -167,7 +167,7 @@ def all_versions(spark, sf_dir):
 
 def provenance_counts(spark, sf_dir):
     """P25: provenance counts per version and component."""
-    df = ix.evaluate_all(features(spark, sf_dir), "proxy", ("V1", "V3", "V4", "V6"), sensitivities=False)
+    df = ix.evaluate_all(features(spark, sf_dir), "proxy", sensitivities=False)
     return finish(ix.component_provenance(df))
 
 
@@ -190,7 +190,7 @@ def gate_trace(spark, sf_dir):
 
 def best_rows(spark, sf_dir):
     """Best example row per version."""
-    df = ix.evaluate_all(features(spark, sf_dir), "hybrid", ("V1", "V4", "V6"), sensitivities=False)
+    df = ix.evaluate_all(features(spark, sf_dir), "hybrid", sensitivities=False)
     return finish(ix.best_examples(df).select("version", "segment_id", "score", "coverage_ratio", "active_component_count"))
 
 
@@ -206,6 +206,9 @@ QUERIES = {f"m0{v[1]}_index_{v.lower()}": _version_query(v) for v in cfg.VERSION
     "p18_p20_acceptance": acceptance,
     "p21_explain": explain,
     "p22_sensitivity_v1": _sensitivity_query("V1", "proxy"),
+    "p22_sensitivity_v2": _sensitivity_query("V2", "strict"),
+    "p22_sensitivity_v3": _sensitivity_query("V3", "proxy"),
+    "p22_sensitivity_v4": _sensitivity_query("V4", "hybrid"),
     "p22_sensitivity_v5": _sensitivity_query("V5", "hybrid"),
     "p22_sensitivity_v6": _sensitivity_query("V6", "strict"),
     "p22_sensitivity_v7": _sensitivity_query("V7", "hybrid"),

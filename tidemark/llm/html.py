@@ -32,7 +32,7 @@ BLOCKS = (
     "table", "tbody", "tfoot", "thead", "title", "tr", "ul",
 )
 SIDE_WORDS = (
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline-share", "comment", "comments", "commentlist", "consent", "cookie", "cookies",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "byline-share", "comment", "comments", "commentlist", "consent", "cookie", "cookies",
     "copyright", "discussion", "disqus", "feedback", "foot", "footer", "form", "gdpr", "login", "menu", "modal", "nav", "navbar",
     "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies",
     "reply", "respond", "search", "share", "sharing", "side", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "taboola", "tags", "toolbar", "topbar", "widget", "widgets",

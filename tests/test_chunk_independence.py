@@ -81,3 +81,12 @@ def test_quantiles_and_ranks_with_outliers_and_null_groups(spark):
     for g, xs in groups.items():
         for x, rank in plain_ranks(xs).items():
             assert ranks[g, x] == rank
+
+
+def test_windows_need_samples(spark):
+    intervals = spark.createDataFrame([("r", 0.0, 10.0)], "key string, a double, b double")
+    out = windows.interval_windows(intervals, "a", "b", 2.0, 1.0)
+    samples = spark.range(900).select(F.lit("r").alias("key"), F.when(F.col("id") < 600, F.col("id") / 150.0).otherwise(6 + (F.col("id") - 600) / 150.0).alias("t"))
+    kept = sorted(r.window_index for r in windows.enough_samples(out, samples, ["key"], "t", 5.0, 256).collect())
+    times = [i / 150 if i < 600 else 6 + (i - 600) / 150 for i in range(900)]
+    assert kept == [k for k in range(9) if sum(k <= t <= k + 2 for t in times) >= 256]

@@ -162,6 +162,14 @@ def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], t: str,
     return p.join(i, [*keys, "_b"]).where(inside).drop("_b")
 
 
+def enough_samples(windows: DataFrame, samples: DataFrame, keys: list[str], t: str, bucket: float, minimum: int = cfg.MIN_SIGNAL_SAMPLES) -> DataFrame:
+    """Windows that hold at least ``minimum`` sample times (both ends count); the others keep their index out of use."""
+    ids = [*keys, "window_start_sec", "window_end_sec"]
+    inside = range_join(samples.select(*keys, t), windows.select(*ids).distinct(), keys, t, "window_start_sec", "window_end_sec", bucket)
+    held = inside.groupBy(*ids).agg(F.count(L(1)).alias("_n")).where(F.col("_n") >= minimum).drop("_n")
+    return windows.join(held, ids, "left_semi")
+
+
 # --- trial events -----------------------------------------------------------------------------
 
 def target_events(events: DataFrame) -> DataFrame:

@@ -28,8 +28,11 @@ FOLDS, HELD_OUT = 7, 2
 BLOCK_BYTES = 1 << 24
 #: Distinct entries of all blocks that one range of hashes holds, about.
 RANGE = 2_000_000
+#: Tokens whose probabilities are worked out at once.
+SPAN = 1 << 18
 #: Ratios of probabilities enter the expectation step in bins of an eighth of an octave, cut at 2^-64 and 2^64.
 BINS = 8
+_LEAST, _WIDE = -64 * BINS - 1, 1 << 11
 END, START = 0, 1
 _ENDS = [xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" start")]  # no word has a blank
 
@@ -53,10 +56,15 @@ def _pair_hashes(tokens: np.ndarray, lengths: np.ndarray, vocabulary: np.ndarray
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[np.cumsum(lengths) - lengths] = START
-    h = (vocabulary[before] ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(32))) + vocabulary[tokens] * np.uint64(0xC4CEB9FE1A85EC53)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return before, h ^ (h >> np.uint64(32))
+    h = vocabulary[before]
+    h ^= np.uint64(0x9E3779B97F4A7C15)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(32)
+    h += vocabulary[tokens] * np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return before, h
 
 
 def _block_batches(block_bytes: int):
@@ -73,6 +81,7 @@ def _block_batches(block_bytes: int):
             place = np.concatenate([[END, START], np.empty(len(order), np.int64)]).astype(np.int64)
             place[order] = np.arange(2, len(hashes))
             tokens, hashes = place[tokens], hashes[np.concatenate([[END, START], order])]
+            parts.clear(), numbers.clear()
             n_pairs = len(np.unique(_pair_hashes(tokens, lengths, hashes)[1]))
             row = [block, docs, [is_held_out(d) for d in docs], packed(lengths), packed(tokens), hashes.tobytes(), n_pairs]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
@@ -103,7 +112,7 @@ class _Block:
     def __init__(self, batch: pa.RecordBatch, i: int):
         get = lambda c: batch.column(c)[i].as_py()
         self.block, self.doc_ids, self.held_out = get("block"), batch.column("doc_ids")[i].values, np.asarray(batch.column("held_out")[i].values)
-        self.lengths, self.tokens = unpacked(get("lengths")).astype(np.int64), unpacked(get("tokens")).astype(np.int64)
+        self.lengths, self.tokens = unpacked(get("lengths")).astype(np.int64), unpacked(get("tokens")).astype(np.int32)
         vocabulary = np.frombuffer(get("vocabulary"), np.uint64)
         self.train = np.repeat(~self.held_out, self.lengths)
         self.before, pairs = _pair_hashes(self.tokens, self.lengths, vocabulary)
@@ -115,11 +124,13 @@ class _Block:
         words = np.bincount(self.word_of[self.tokens[self.train]], minlength=len(self.words))
         return [(self.words, words), (self.pairs, np.bincount(self.pair_of[self.train], minlength=len(self.pairs)))]
 
-    def looked_up(self, totals: dict[int, np.ndarray], n_train_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: c(v w), c(v), c(w)."""
+    def spans(self, totals: dict[int, np.ndarray], n_train_docs: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """For some tokens at a time: c(v w), c(v), c(w)."""
         word = totals[0][self.word_of]
         word[START] = n_train_docs
-        return totals[1][self.pair_of], word[self.before], word[self.tokens]
+        for at in range(0, len(self.tokens), SPAN):
+            own = slice(at, at + SPAN)
+            yield own, totals[1][self.pair_of[own]], word[self.before[own]], word[self.tokens[own]]
 
 
 def _cut(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -171,7 +182,7 @@ def bucket(count: np.ndarray) -> np.ndarray:
 def _binned(ratio: np.ndarray) -> np.ndarray:
     """Bin of a ratio; 0 is a bin of its own, the lowest."""
     with np.errstate(divide="ignore"):
-        return np.where(ratio > 0, np.clip(np.rint(np.log2(ratio) * BINS), -64 * BINS, 64 * BINS), -64 * BINS - 1).astype(np.int64)
+        return np.where(ratio > 0, np.clip(np.rint(np.log2(ratio) * BINS), -64 * BINS, 64 * BINS), _LEAST).astype(np.int64)
 
 
 def _held_out_batches(n: int, v: int, n_docs: int):
@@ -179,11 +190,17 @@ def _held_out_batches(n: int, v: int, n_docs: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 block = _Block(batch, i)
-                pair, context, word = (c[block.train] - 1 for c in block.looked_up(_totals(batch, i), n_docs))
-                two = _binned(np.where(context > 0, pair / np.maximum(context, 1), 0) * (v + 1))
-                one = _binned(word / max(1, n - 1) * (v + 1))
-                keys, times = np.unique(np.stack([bucket(context), two, one], 1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*[pa.array(k.astype(np.int64)) for k in keys.T], pa.array(times)], ["bucket", "two", "one", "n"])
+                found, times = [], []
+                for own, *counts in block.spans(_totals(batch, i), n_docs):
+                    pair, context, word = (c[block.train[own]] - 1 for c in counts)
+                    two = _binned(np.where(context > 0, pair / np.maximum(context, 1), 0) * (v + 1))
+                    one = _binned(word / max(1, n - 1) * (v + 1))
+                    keys, n_times = np.unique((bucket(context) * _WIDE + two - _LEAST) * _WIDE + one - _LEAST, return_counts=True)
+                    found.append(keys)
+                    times.append(n_times)
+                keys, place = np.unique(np.concatenate(found), return_inverse=True)
+                columns = [keys // (_WIDE * _WIDE), keys // _WIDE % _WIDE + _LEAST, keys % _WIDE + _LEAST, np.bincount(place, np.concatenate(times), len(keys))]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["bucket", "two", "one", "n"])
 
     return run
 
@@ -219,13 +236,15 @@ def _score_batches(n: int, v: int, n_docs: int, weights: dict[int, tuple[float,
         for batch in batches:
             for i in range(batch.num_rows):
                 block = _Block(batch, i)
-                pair, context, word = block.looked_up(_totals(batch, i), n_docs)
-                mix = table[bucket(context)]
-                p = mix[:, 0] * pair / np.maximum(context, 1) + mix[:, 1] * word / max(1, n) + mix[:, 2] / (v + 1)
+                known, base, logs = np.empty(len(block.tokens), np.int64), np.empty(len(block.tokens)), np.empty(len(block.tokens))
+                for own, pair, context, word in block.spans(_totals(batch, i), n_docs):
+                    mix = table[bucket(context)]
+                    p = mix[:, 0] * pair / np.maximum(context, 1) + mix[:, 1] * word / max(1, n) + mix[:, 2] / (v + 1)
+                    known[own], base[own], logs[own] = word > 0, np.log10((word + 1) / (n + v + 1)), np.log10(p)
                 starts = np.cumsum(block.lengths) - block.lengths
                 add = lambda x: np.add.reduceat(x, starts)
                 yield pa.RecordBatch.from_arrays(
-                    [block.doc_ids, pa.array(block.held_out), pa.array(block.lengths), pa.array(add((word > 0).astype(np.int64))), pa.array(np.full(len(starts), n)), pa.array(add(np.log10((word + 1) / (n + v + 1)))), pa.array(add(np.log10(p)))],
+                    [block.doc_ids, pa.array(block.held_out), pa.array(block.lengths), pa.array(add(known)), pa.array(np.full(len(starts), n)), pa.array(add(base)), pa.array(add(logs))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 

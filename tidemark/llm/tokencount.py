@@ -1,21 +1,24 @@
 """Token counts: every distinct pre-token is counted once, and joined to how often each document has it.
 
 Documents are worked on in blocks of bounded bytes. A block keeps, per document, the pre-tokens it has (as numbers in
-the block's own vocabulary) and how often, and sends each vocabulary entry once. The distinct pre-tokens of all blocks
-are counted once each; the counts return to the blocks as one array, which is weighted with the frequencies and summed.
-No ids of a text are ever made.
+the block's own vocabulary) and how often, and sends its vocabulary once, cut by hash range. In a range, which meets
+all blocks, each distinct pre-token is counted once; the counts return to the blocks, are joined to the documents'
+frequencies there and summed. No ids of a text are ever made.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from tidemark.plans.staging import stage
 
 LIMIT = 2048
 BLOCK_BYTES = 1 << 24
+#: Vocabulary entries of all blocks that one range of hashes holds, about.
+RANGE = 500_000
 #: Unicode's white space, which the tokenizer's pattern means by a blank; no pre-token crosses one.
 _BLANK = re.compile("[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
@@ -82,7 +87,7 @@ def _loaded(path: str) -> PreTokens:
     return _LOADED[path]
 
 
-_BLOCK = "block long, doc_ids array<long>, sizes array<long>, held binary, entries binary, times binary, vocabulary array<string>"
+_BLOCK = "block long, doc_ids array<long>, sizes array<long>, held binary, entries binary, times binary, vocabulary binary, n_entries long"
 
 
 def _block_batches(path: str, block_bytes: int):
@@ -96,8 +101,8 @@ def _block_batches(path: str, block_bytes: int):
         vocabulary: dict[str, int] = {}
 
         def flush() -> pa.RecordBatch:
-            row = {"block": block, "doc_ids": docs, "sizes": sizes, "held": packed(held), "entries": packed(np.concatenate(entries)), "times": packed(np.concatenate(times)), "vocabulary": list(vocabulary)}
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+            row = {"block": block, "doc_ids": docs, "sizes": sizes, "held": packed(held), "entries": packed(np.concatenate(entries)), "times": packed(np.concatenate(times)), "vocabulary": zlib.compress(json.dumps(list(vocabulary), ensure_ascii=False).encode("utf-8", "surrogatepass"), 1), "n_entries": len(vocabulary)}
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row.values(), kinds)], list(row))
 
         done = 0
@@ -124,12 +129,39 @@ def _block_batches(path: str, block_bytes: int):
     return run
 
 
-def _count_batches(path: str):
+def _words(data: bytes) -> list[str]:
+    return json.loads(zlib.decompress(data).decode("utf-8", "surrogatepass"))
+
+
+def _send_batches(ranges: int):
+    """A block's vocabulary to one row per range of hashes: the pre-tokens and their numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = _loaded(path)
         for batch in batches:
-            counts = [loaded.pieces(p) for p in batch.column("pre").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("pre"), pa.array(counts, pa.int32())], ["pre", "n_pieces"])
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("vocabulary").to_pylist()):
+                words = _words(data)
+                parts: dict[int, list[int]] = {}
+                for at, w in enumerate(words):
+                    parts.setdefault(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) * ranges >> 64, []).append(at)
+                rows = [(k, block, zlib.compress(json.dumps([words[i] for i in own], ensure_ascii=False).encode("utf-8", "surrogatepass"), 1), packed(own)) for k, own in parts.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "words", "places"])
+
+    return run
+
+
+def _count_range(path: str):
+    """The pieces of every pre-token of a range, each distinct one counted once, for each block as it sent them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        loaded, known = _loaded(path), {}
+        counts = []
+        for data in table["words"].to_pylist():
+            words = _words(data)
+            for w in words:
+                if w not in known:
+                    known[w] = loaded.pieces(w)
+            counts.append(packed([known[w] for w in words]))
+        return pa.table({"block": table["block"], "places": table["places"], "counts": pa.array(counts, pa.binary())})
 
     return run
 
@@ -137,9 +169,10 @@ def _count_batches(path: str):
 def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            got = batch.column("counts")[i].values
-            counts = np.zeros(len(got), np.int64)
-            counts[np.asarray(got.field("at"))] = np.asarray(got.field("n_pieces"))
+            got = batch.column("parts")[i].values
+            counts = np.zeros(batch.column("n_entries")[i].as_py(), np.int64)
+            for places, n_pieces in zip(got.field("places").to_pylist(), got.field("counts").to_pylist()):
+                counts[unpacked(places)] = unpacked(n_pieces)
             held, entries, times = (unpacked(batch.column(c)[i].as_py()).astype(np.int64) for c in ("held", "entries", "times"))
             owner = np.repeat(np.arange(len(held)), held)
             steps = np.cumsum(entries)
@@ -151,20 +184,21 @@ def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, batch.column("sizes")[i].values, pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
 
 
-def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, block_bytes: int = BLOCK_BYTES, range_entries: int = RANGE) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs``.
 
     The counts are those of the whole text without added tokens, truncation or padding; special strings in a text are
     their special token. Null and empty texts have no tokens; repeated rows and null doc_ids are reported each; other
     columns are not read; an empty table gives no rows. A block gathers at most ``block_bytes`` of text (or one text),
-    so a pre-token that every document has is one row per block in the join on pre-tokens.
+    so a pre-token that every document has is one entry per block; a range gathers about ``range_entries`` of them.
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
     blocks = stage(own_columns(docs, doc_id="long", text="string").mapInArrow(_block_batches(path, block_bytes), _BLOCK), "token-blocks")
-    entries = blocks.select("block", F.posexplode("vocabulary").alias("at", "pre"))
-    counted = entries.select("pre").distinct().mapInArrow(_count_batches(path), "pre string, n_pieces int")
-    returned = entries.join(counted, "pre").groupBy("block").agg(F.collect_list(F.struct("at", "n_pieces")).alias("counts"))
-    joined = blocks.drop("vocabulary").join(returned, "block", "left").withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<at:int,n_pieces:int>>")))
+    n = blocks.agg(F.sum("n_entries")).first()[0] or 0
+    sent = blocks.select("block", "vocabulary").mapInArrow(_send_batches(-(-n // range_entries) or 1), "part long, block long, words binary, places binary")
+    counted = sent.groupBy("part").applyInArrow(_count_range(path), "block long, places binary, counts binary")
+    returned = counted.groupBy("block").agg(F.collect_list(F.struct("places", "counts")).alias("parts"))
+    joined = blocks.drop("vocabulary").join(returned, "block", "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<places:binary,counts:binary>>")))
     return joined.mapInArrow(_sum_batches, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -44,7 +44,7 @@ def test_whole_table(spark):
 
 
 def test_odd_rows(spark):
-    docs = [(1, None), (2, ""), (3, "a  b\n\n c\t\td  "), (4, "x<|endoftext|>y"), (5, "a\x1cb c\x1f d"), (6, "It's we'll 12,345    你好　世界 \U0001f600"), (7, "word " * 5000), (7, "word " * 5000), (None, "no id"), (8, "q" * 30_000)]
+    docs = [(1, None), (2, ""), (3, "a  b\n\n c\t\td  "), (4, "x<|endoftext|>y"), (5, "a\x1cb c\x1f d"), (11, "don't a,b,c x_y (z) “q” —w, ÿ× a’s l'été"), (6, "It's we'll 12,345    你好　世界 \U0001f600"), (7, "word " * 5000), (7, "word " * 5000), (None, "no id"), (8, "q" * 30_000)]
     df = spark.createDataFrame([(*d, 1, "z") for d in docs], "doc_id long, text string, length int, ids string")
     rows = packing.pack(df, with_ids=True).collect()
     check(docs, rows)

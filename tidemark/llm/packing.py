@@ -13,6 +13,7 @@ import os
 import random
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,30 +29,49 @@ from tidemark.plans.staging import stage
 LIMIT = 2048
 SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 16_384, 4, 2, 6, 4
 
-#: A blank run's last space goes with the word after it; the pre-tokenizer's pattern never crosses these borders.
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Chunks that are tokenized apart: the pre-tokenizer's pattern never crosses their borders. A blank run's last space
+#: goes with the word after it; letters end before a blank or an ASCII sign other than the apostrophe.
+_CHUNK = re.compile(rf" ?[{_LETTERS}]+(?=[!-&(-/:-@\[-`{{-~\s]|\Z)| ?\S+|\s+(?!\S)|\s")
+_WORD = re.compile(f" ?[{_LETTERS}]+")
 #: Texts with these are encoded as a whole: special strings, and controls that Python alone takes for blanks.
 _WHOLE = re.compile(r"<\|endoftext\|>|[\x1c-\x1f]")
 _CACHED, _CACHED_CHARS = 150_000, 48
 Bin = tuple[int, ...]
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The letters that a byte-level tokenizer writes bytes as: visible Latin-1 as it is, the others from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class ChunkEncoder:
-    """Token ids of texts as bytes (little-endian 32 bits). Each chunk between blanks is encoded once while it is
-    in one of two generations of a bounded cache; the ids are those of the whole text."""
+    """Token ids of texts as bytes (little-endian 32 bits), by the tokenizers library; the ids are those of the whole text.
+
+    For a byte-level tokenizer each chunk is encoded once while it is in one of two generations of a bounded cache, and
+    a chunk that is one word goes to the library's model directly. Texts for other tokenizers are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.chunked = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None and self.tokenizer.encode("a", add_special_tokens=False).ids == self.tokenizer.encode("a").ids
+        self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.chunked:
+            return self._encode(texts)
         whole = [bool(_WHOLE.search(t)) for t in texts]
         chunks = [[] if w else _CHUNK.findall(t) for t, w in zip(texts, whole)]
         if len(self.new) > _CACHED:
@@ -62,7 +82,10 @@ class ChunkEncoder:
             if (ids := self.old.get(c)) is not None:
                 found[c] = ids
         missing = list(used - found.keys())
-        for c, ids in zip(missing, self._encode(missing)):
+        others = [c for c in missing if not _WORD.fullmatch(c)]
+        ids_of = dict(zip(others, self._encode(others)))
+        for c in missing:
+            ids = ids_of.get(c) or self._word(c)
             (found if len(c) <= _CACHED_CHARS else table)[c] = ids
         get = found.__getitem__ if not table else lambda c: table[c] if c in table else found[c]
         return [self._encode([t])[0] if w else b"".join(map(get, c)) for t, w, c in zip(texts, whole, chunks)]

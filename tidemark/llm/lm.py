@@ -25,7 +25,8 @@ from tidemark.llm.common import LOWER, own_columns, packed, task_base, unpacked
 from tidemark.plans.staging import stage
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 1 << 24
+#: A block of 8 MB of text takes about 150 MB of a Python worker.
+BLOCK_BYTES = 1 << 23
 #: Distinct entries of all blocks that one range of hashes holds, about.
 RANGE = 2_000_000
 #: Tokens whose probabilities are worked out at once.
@@ -117,7 +118,8 @@ class _Block:
         self.train = np.repeat(~self.held_out, self.lengths)
         self.before, pairs = _pair_hashes(self.tokens, self.lengths, vocabulary)
         self.words, self.word_of = np.unique(vocabulary, return_inverse=True)
-        self.pairs, self.pair_of = np.unique(pairs, return_inverse=True)
+        self.pairs, place = np.unique(pairs, return_inverse=True)
+        self.pair_of = place.astype(np.int32)
 
     def counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """(hashes, training counts) of the words and of the pairs. START counts once per training document."""

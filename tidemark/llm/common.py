@@ -66,3 +66,10 @@ def packed(values, kind: str = "<u4") -> bytes:
 def unpacked(data: bytes, kind: str = "<u4") -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The letters that a byte-level tokenizer writes bytes as: visible Latin-1 as it is, the others from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import own_columns, task_base
+from tidemark.llm.common import byte_alphabet, own_columns, task_base
 from tidemark.plans.staging import stage
 
 LIMIT = 2048
@@ -40,13 +40,6 @@ _CACHED, _CACHED_CHARS = 150_000, 48
 Bin = tuple[int, ...]
 
 
-def _byte_alphabet() -> dict[int, str]:
-    """The letters that a byte-level tokenizer writes bytes as: visible Latin-1 as it is, the others from 256 on."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(visible)]
-    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
 class ChunkEncoder:
     """Token ids of texts as bytes (little-endian 32 bits), by the tokenizers library; the ids are those of the whole text.
 
@@ -59,7 +52,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.chunked = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None and self.tokenizer.encode("a", add_special_tokens=False).ids == self.tokenizer.encode("a").ids
-        self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import own_columns, packed, task_base, unpacked
+from tidemark.llm.common import byte_alphabet, own_columns, packed, task_base, unpacked
 from tidemark.plans.staging import stage
 
 LIMIT = 2048
@@ -32,6 +32,8 @@ RANGE = 500_000
 #: Unicode's white space, which the tokenizer's pattern means by a blank; no pre-token crosses one.
 _BLANK = re.compile("[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
+#: A word of Latin letters, and ASCII signs other than the apostrophe after it: two pre-tokens at most.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 _CACHED, _CACHED_CHARS = 150_000, 48
 
 
@@ -49,12 +51,23 @@ class PreTokens:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.cache: dict[str, list[str]] = {}
+        self.alphabet = byte_alphabet()
+        # only for a tokenizer that lower-cases and writes bytes this way
+        self.plain = all(self._library(x) == self._plain(x) for x in ("ÀÉxÿß", "Word,.", "Zq", "#!", "Öx-_)"))
+
+    def _library(self, chunk: str) -> list[str]:
+        normal, pre = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        return [p for p, _ in pre.pre_tokenize_str(normal.normalize_str(chunk) if normal else chunk)]
+
+    def _plain(self, chunk: str) -> list[str] | None:
+        """The pre-tokens of a plain chunk without the library; None for any other chunk."""
+        m = _PLAIN.fullmatch(chunk)
+        return m and [p.lower().encode().decode("latin-1").translate(self.alphabet) for p in m.groups() if p]
 
     def chunk(self, chunk: str) -> list[str]:
         found = self.cache.get(chunk)
         if found is None:
-            normal, pre = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
-            found = [p for p, _ in pre.pre_tokenize_str(normal.normalize_str(chunk) if normal else chunk)]
+            found = (self._plain(chunk) if self.plain else None) or self._library(chunk)
             if len(chunk) <= _CACHED_CHARS:
                 if len(self.cache) >= _CACHED:
                     self.cache.clear()

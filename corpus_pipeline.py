@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near duplicates."""
+    """One document of each group of near duplicates: SimHash within three bits, or five-word shingles 0.8 alike or more."""
     ship_package(spark)
     return keep_one_of_each(docs)
 

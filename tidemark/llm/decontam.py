@@ -52,9 +52,9 @@ def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
 class Words:
     """The words of some texts: byte spans, first word of each text, and a hash per word."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _IS_WORD):
         self.data = _TABLE[data]
-        inside = _IS_WORD[data]
+        inside = is_word[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         before = np.concatenate([[False], inside])[:-1] & ~edge[:-1]

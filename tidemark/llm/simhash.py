@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, own_columns
 from tidemark.llm.graph import components
+from tidemark.llm.jaccard import SIMILARITY, joined, moved, similar_links
 from tidemark.plans.staging import stage
 
 BITS, SEED = 64, 42
@@ -146,14 +147,22 @@ def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each near-duplicate group, the one of least doc_id; all columns stay.
+def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash, root for every row: the groups of ``simhash_groups``, joined further wherever the five-word
+    shingle sets of two texts have a Jaccard similarity of ``similarity`` or more."""
+    groups = stage(simhash_groups(docs, width, radius).select("doc_id", "text_hash", "root"), "near-groups")
+    links = similar_links(docs, groups.select("text_hash", "root"), similarity)
+    return groups if links is None else moved(groups, joined([links]))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 3, radius: int = 3, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of ``near_groups``, the one of least doc_id; all columns stay.
 
     Rows with a null doc_id come after all others. Among repeated rows (same doc_id and text) one stays. The rows that
     stay are named by (doc_id, hash of the text) and met in one join.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")).alias("first")
-    kept = simhash_groups(docs, width, radius).groupBy("root").agg(first).select("first.*").distinct()
+    kept = near_groups(docs, width, radius, similarity).groupBy("root").agg(first).select("first.*").distinct()
     names = iter(n for n in (f"_kept_{i}" for i in range(99)) if n not in docs.columns)
     no_id, id_, text_hash = (next(names) for _ in range(3))
     keyed = docs.withColumns({no_id: docs["doc_id"].isNull(), id_: F.coalesce(docs["doc_id"], F.lit(0)), text_hash: F.xxhash64(docs["text"])})

@@ -92,3 +92,27 @@ def test_without_labels_or_rows(spark):
     nothing = spark.createDataFrame([], "text string, label string")
     assert [(r.language, r.rejected) for r in language.identify(df, nothing).collect()] == [(None, True)]
     assert language.identify(df.where("false"), spark.createDataFrame(LABELLED, "text string, label string")).count() == 0
+
+
+STRANGE = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "letters": "qzkxvjwpfgbh ykzqjxwv mwpqzkxj vbgfhqzk xjwvpqmz kfhbgxyz qjkwvzpx mhqzkxjw vpfgbhyk zqjxwvmw pqzkxjvb gfhqzkxj",
+    "base64": "q3JhNkZ1d0hZc1RrQnZKcXhMZ01wV2lEZUNuYVJvVXlFbEdzSGZJdEtqTXpOYk9jUGRRdlJ4U3dUZ1VrVm1XaFhuWXBabEFxQnJDc0R0RXVGdkd3SHhJeUp6" * 2,
+}
+
+
+def test_texts_in_no_labelled_language(spark):
+    """Unseen languages and scripts, scrambled letters and base64 go; short and long clean texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and doc_id % 2 = 0").select("text", F.col("lang").alias("label"))
+    clean = ["the", "The and attion to thanedble the", "le de un que les des", "All human beings are born free and equal in dignity and rights.", "Alle Menschen sind frei und gleich an Würde und Rechten geboren."]
+    rows = [(i, t, None, "s") for i, t in enumerate([*clean, *STRANGE.values(), STRANGE["pl"] * 500])]
+    found = language.identify(language.document_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), docs)
+    assert {r.doc_id for r in found.collect() if r.rejected} == set(range(len(clean), len(rows)))
+
+
+def test_strange_rows_leave_the_stage(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    strange = spark.createDataFrame([(-1 - i, t, "en", "s") for i, t in enumerate(STRANGE.values())], docs.schema)
+    assert language.keep_identified(docs.unionByName(strange)).where("doc_id < 0").count() == 0

@@ -4,6 +4,10 @@ log P(language | row) is the sum of the text's likelihood (byte trigrams, one ta
 host, and of the likelihoods of the declared markup language and of the mark in its address. The host prior is
 smoothed towards that of the domain above, and this towards the corpus; all counts are grouped sums over every row of
 the posterior that the text alone gives. Only the trigram tables are fitted on a bounded sample of labelled rows.
+
+The posterior is over the labelled languages. Whether a text is in any of them is decided apart: a background table,
+an alphabet without the habits of a language, stands for all other languages and for what is no language. It is also
+what the tables are smoothed towards, so a table of few rows says little against a text.
 """
 
 from __future__ import annotations
@@ -23,8 +27,9 @@ from tidemark.plans.staging import stage
 SAMPLE, LANGUAGES, SLOTS = 2000, 64, 1 << 16
 #: Every byte is in three trigrams, so the sum of their logs is weighted by a third. Pseudo-counts of the smoothing.
 WEIGHT, PSEUDO = 1 / 3, 20.0
-#: A row is rejected below this posterior, or if its text has no letter.
-ACCEPT = 0.5
+#: A row is rejected below this posterior, if its text has no letter, or if the background is so much likelier than every
+#: language (log of its odds; a few unknown words in a short text do not reach it).
+ACCEPT, BACKGROUND_ODDS = 0.5, 10.0
 
 _LETTER = np.array([(97 <= c <= 122) or c >= 128 for c in range(256)])
 _PLAIN = np.array([c if _LETTER[c] else 32 for c in range(256)], np.uint8)
@@ -39,13 +44,27 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     plain = _PLAIN[low].astype(np.uint32)
     if len(plain) < 3:
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), np.diff(letters)
-    mixed = (plain[:-2] * np.uint32(0x9E3779B1)) ^ (plain[1:-1] * np.uint32(0x85EBCA77)) ^ (plain[2:] * np.uint32(0xC2B2AE3D))
+    mixed = _slot(plain[:-2], plain[1:-1], plain[2:])
     inside = np.ones(len(mixed), bool)
     for back in (1, 2):
         over = offsets[1:-1] - back
         inside[over[(over >= 0) & (over < len(inside))]] = False
     count = np.concatenate([[0], np.cumsum(inside)])
-    return (mixed[inside] >> np.uint32(16)).astype(np.int64), count[np.minimum(offsets, len(inside))], np.diff(letters)
+    return mixed[inside].astype(np.int64), count[np.minimum(offsets, len(inside))], np.diff(letters)
+
+
+def _slot(a, b, c):
+    mixed = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))
+    return mixed >> np.uint32(16)
+
+
+def background() -> np.ndarray:
+    """P(trigram slot) of the background: half over blanks (a sixth) and the letters a-z, half over all slots."""
+    signs = np.array([32, *range(97, 123)], np.uint32)
+    share = np.array([1 / 6] + [5 / 6 / 26] * 26)
+    slots = _slot(signs[:, None, None], signs[None, :, None], signs[None, None, :]).ravel()
+    plain = np.bincount(slots, (share[:, None, None] * share[None, :, None] * share[None, None, :]).ravel(), SLOTS)
+    return (plain + 1 / SLOTS) / 2
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +81,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def fit_trigrams(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """Languages and their tables of log P(trigram slot | language), smoothed by one.
+    """Languages and their tables of log P(trigram slot | language), smoothed towards the background.
 
     ``labelled`` has text and label. About ``sample`` rows of each of the ``languages`` most frequent labels are used:
     those whose hash is below a share of all hashes. What reaches the driver is at most languages x SLOTS counts.
@@ -74,7 +93,7 @@ def fit_trigrams(labelled: DataFrame, sample: int = SAMPLE, languages: int = LAN
     names = sorted(r.label for r in sizes)
     share = F.create_map(*[x for r in sizes for x in (F.lit(r.label), F.lit(min(1.0, sample / r["count"])))])
     picked = base.where(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30)) < F.try_element_at(share, F.col("label")) * (1 << 30))
-    counts = np.ones((len(names), SLOTS), np.float64)
+    counts = np.tile(background() * SLOTS, (len(names), 1))
     got = picked.select("text", "label").mapInArrow(_count_batches, "label string, slot long, n long").groupBy("label", "slot").agg(F.sum("n").alias("n")).toArrow()
     rows = np.searchsorted(names, np.array(got["label"].to_pylist(), dtype=object)) if got.num_rows else np.zeros(0, np.int64)
     counts[rows, np.asarray(got["slot"])] += np.asarray(got["n"])
@@ -83,7 +102,7 @@ def fit_trigrams(labelled: DataFrame, sample: int = SAMPLE, languages: int = LAN
 
 def _likelihood_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
+        tables, other = shared.value, np.log(background()).astype(np.float32)
         for batch in batches:
             keep = [n for n in batch.schema.names if n not in ("text", "is_markup")]
             text = batch.column("text")
@@ -93,12 +112,13 @@ def _likelihood_batches(shared):
                 codes, at, letters = _codes(data, offsets)
                 logs = np.zeros((len(offsets) - 1, len(tables)))
                 filled = np.flatnonzero(np.diff(at))
-                for i, table in enumerate(tables):
+                none = np.zeros(len(logs))
+                for sums, table in zip([*logs.T, none], [*tables, other]):
                     if len(filled):
-                        logs[filled, i] = np.add.reduceat(table[codes].astype(np.float64), at[filled])
+                        sums[filled] = np.add.reduceat(table[codes].astype(np.float64), at[filled])
                 columns = [batch.column(n).slice(first, len(letters)) for n in keep]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(logs) + 1) * len(tables), pa.int32()), pa.array(logs.ravel()))
-                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(letters.astype(np.int64))], [*keep, "logs", "n_letters"])
+                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(letters.astype(np.int64)), pa.array(none)], [*keep, "logs", "n_letters", "none_log"])
 
     return run
 
@@ -126,20 +146,23 @@ def identify(rows: DataFrame, labelled: DataFrame, sample: int = SAMPLE, accept:
     ``rows`` has text, is_markup, declared, host, domain, mark and any key columns (text is not returned). Missing
     evidence (null) is a value of its own, whose likelihood is learned like any other. A text without trigrams (null,
     empty, under three bytes) has no likelihood: the other evidence decides the language; a text without any letter is
-    rejected whatever the rest says. Repeated rows count each. Without labelled rows every language is null and every
-    row rejected; an empty table gives no rows. Ties go to the language first in order.
+    rejected whatever the rest says, and so is one that the background explains far better than every language: such
+    rows do not count towards the evidence of others, and their probability is that among the labelled languages.
+    Repeated rows count each. Without labelled rows every language is null and every row rejected; an empty table gives
+    no rows. Ties go to the language first in order.
     """
     spark = rows.sparkSession
     keys = [c for c in rows.columns if c not in ("text", "is_markup")]
     names, tables = fit_trigrams(labelled, sample)
     n = len(names)
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys) + ", logs array<double>, n_letters long"
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys) + ", logs array<double>, n_letters long, none_log double"
     filled = rows.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("declared", "host", "domain", "mark")})
     scored = filled.mapInArrow(_likelihood_batches(spark.sparkContext.broadcast(tables)), schema)
     if not n:
         return scored.select(*keys, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_language"), F.lit(True).alias("rejected"))
     scored = stage(scored.withColumn("text_posterior", _softmax(F.transform("logs", lambda x: x * WEIGHT))), "language-logs")
-    evidence = scored.where("n_letters > 0")
+    strange = (F.col("none_log") - F.array_max("logs")) * WEIGHT > BACKGROUND_ODDS
+    evidence = scored.where((F.col("n_letters") > 0) & ~strange)
     whole = stage(_sums(evidence, n, "host", "domain", "declared", "mark"), "language-counts").withColumnRenamed("counts", "text_posterior")
     first = _sums(whole, n).first()
     total = np.array(first.counts, float) if first.counts[0] is not None else np.zeros(n)
@@ -162,7 +185,7 @@ def identify(rows: DataFrame, labelled: DataFrame, sample: int = SAMPLE, accept:
         fused = add(fused, F.coalesce(by, zero))
     best = lambda a: F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position(a, F.array_max(a)).cast("int"))
     out = joined.withColumn("posterior", _softmax(fused))
-    return out.select(*keys, best(F.col("posterior")).alias("language"), F.array_max("posterior").alias("probability"), best(F.col("text_posterior")).alias("text_language"), ((F.col("n_letters") == 0) | (F.array_max("posterior") < accept)).alias("rejected"))
+    return out.select(*keys, best(F.col("posterior")).alias("language"), F.array_max("posterior").alias("probability"), best(F.col("text_posterior")).alias("text_language"), ((F.col("n_letters") == 0) | strange | (F.array_max("posterior") < accept)).alias("rejected"))
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

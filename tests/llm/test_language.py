@@ -116,3 +116,22 @@ def test_strange_rows_leave_the_stage(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
     strange = spark.createDataFrame([(-1 - i, t, "en", "s") for i, t in enumerate(STRANGE.values())], docs.schema)
     assert language.keep_identified(docs.unionByName(strange)).where("doc_id < 0").count() == 0
+
+
+def test_more_labels_than_sixty_four(spark):
+    """Each label of 70 has its own words; the least frequent ones are identified too."""
+    texts = {f"l{chr(97 + i // 26)}{chr(97 + i % 26)}": " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{c}o{chr(97 + i % 26)}" for c in "bdgkmnprst") for i in range(70)}
+    labelled = spark.createDataFrame([(t, name) for i, (name, t) in enumerate(texts.items()) for _ in range(80 - i)], "text string, label string")
+    names, tables = language.fit_trigrams(labelled)
+    assert names == sorted(texts) and tables.shape == (70, language.SLOTS)
+    rows = spark.createDataFrame([(i, t, None, "s") for i, t in enumerate(texts.values())], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.language for r in language.identify(language.document_rows(rows), labelled).collect()}
+    assert got == dict(enumerate(texts))
+
+
+def test_labels_are_primary_subtags(spark):
+    rows = [(i, t, v, "s") for i, (t, v) in enumerate((t, v) for t, lang in LABELLED for v in (lang, lang.upper(), f"{lang}-X", f" {lang}_y"))]
+    docs = spark.createDataFrame([*rows, (999, "the cat", None, "s"), (1000, "the dog", "", "s")], "doc_id long, text string, lang string, source string")
+    assert {r.label for r in language.labelled_rows(docs).collect()} == {"en", "fr", "de", "", None}
+    assert language.keep_identified(docs).where("text = 'the cat'").count() == 1
+    assert language.fit_trigrams(language.labelled_rows(docs))[0] == ["de", "en", "fr"]

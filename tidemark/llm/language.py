@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import LOWER, own_columns, text_slices
 from tidemark.plans.staging import stage
 
-#: Rows per language that the trigram tables are fitted on (about; chosen by a hash), languages at most, trigram slots.
-SAMPLE, LANGUAGES, SLOTS = 2000, 64, 1 << 16
+#: Rows per language that the trigram tables are fitted on (about; chosen by a hash), trigram slots.
+SAMPLE, SLOTS = 2000, 1 << 16
 #: Every byte is in three trigrams, so the sum of their logs is weighted by a third. Pseudo-counts of the smoothing.
 WEIGHT, PSEUDO = 1 / 3, 20.0
 #: A row is rejected below this posterior, if its text has no letter, or if the background is so much likelier than every
@@ -80,24 +80,26 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(held)), pa.array(held), pa.array(counts[held])], ["label", "slot", "n"])
 
 
-def fit_trigrams(labelled: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+def fit_trigrams(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and their tables of log P(trigram slot | language), smoothed towards the background.
 
-    ``labelled`` has text and label. About ``sample`` rows of each of the ``languages`` most frequent labels are used:
-    those whose hash is below a share of all hashes. What reaches the driver is at most languages x SLOTS counts.
+    ``labelled`` has text and label. Every label gets a table, from about ``sample`` of its rows: those whose hash is
+    below a share of all hashes. What reaches the driver is at most labels x SLOTS counts; a table has 256 KB.
     """
     base = labelled.where("label is not null and label <> '' and text is not null")
-    sizes = base.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages).collect()
+    sizes = base.groupBy("label").count().collect()
     if not sizes:
         return [], np.zeros((0, SLOTS), np.float32)
     names = sorted(r.label for r in sizes)
     share = F.create_map(*[x for r in sizes for x in (F.lit(r.label), F.lit(min(1.0, sample / r["count"])))])
     picked = base.where(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30)) < F.try_element_at(share, F.col("label")) * (1 << 30))
-    counts = np.tile(background() * SLOTS, (len(names), 1))
-    got = picked.select("text", "label").mapInArrow(_count_batches, "label string, slot long, n long").groupBy("label", "slot").agg(F.sum("n").alias("n")).toArrow()
-    rows = np.searchsorted(names, np.array(got["label"].to_pylist(), dtype=object)) if got.num_rows else np.zeros(0, np.int64)
-    counts[rows, np.asarray(got["slot"])] += np.asarray(got["n"])
-    return names, (np.log(counts) - np.log(counts.sum(1, keepdims=True))).astype(np.float32)
+    number = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.lit(i))])
+    counts = np.tile((background() * SLOTS).astype(np.float32), (len(names), 1))
+    got = picked.select("text", "label").mapInArrow(_count_batches, "label string, slot long, n long").groupBy("label", "slot").agg(F.sum("n").alias("n"))
+    got = got.select(F.element_at(number, F.col("label")).alias("label"), F.col("slot").cast("int").alias("slot"), "n").toArrow()
+    counts[np.asarray(got["label"]), np.asarray(got["slot"])] += np.asarray(got["n"])
+    total = counts.sum(1, keepdims=True, dtype=np.float64)
+    return names, np.subtract(np.log(counts, out=counts), np.log(total), out=counts, casting="same_kind")
 
 
 def _likelihood_batches(shared):
@@ -188,6 +190,12 @@ def identify(rows: DataFrame, labelled: DataFrame, sample: int = SAMPLE, accept:
     return out.select(*keys, best(F.col("posterior")).alias("language"), F.array_max("posterior").alias("probability"), best(F.col("text_posterior")).alias("text_language"), ((F.col("n_letters") == 0) | strange | (F.array_max("posterior") < accept)).alias("rejected"))
 
 
+def labelled_rows(docs: DataFrame) -> DataFrame:
+    """Text and label of documents: the primary subtag of lang in lower case (en for EN, en-US and en_GB)."""
+    label = F.substring_index(F.translate(F.trim(F.lower("lang")), "_", "-"), "-", 1)
+    return own_columns(docs, text="string", lang="string").select("text", label.alias("label"))
+
+
 def document_rows(docs: DataFrame) -> DataFrame:
     """Documents as rows of ``identify``: the declared language is lang, the host is source."""
     base = own_columns(docs, doc_id="long", text="string", lang="string", source="string")
@@ -206,7 +214,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """``docs`` without the rows that language identification rejects; all columns stay."""
-    found = identify(document_rows(docs), own_columns(docs, text="string", lang="string").withColumnRenamed("lang", "label"), accept=accept)
+    found = identify(document_rows(docs), labelled_rows(docs), accept=accept)
     bad = stage(found.where("rejected").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "language-rejected")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_hash"]), "left_anti")
 
@@ -215,5 +223,5 @@ def op6_language_id(spark, sf_dir: str) -> DataFrame:
     """All documents and all pages: doc_id or page_id, whichever a row has."""
     docs, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages"))
     rows = document_rows(docs).unionByName(page_rows(pages))
-    found = identify(rows, docs.select("text", F.lower("lang").alias("label")))
+    found = identify(rows, labelled_rows(docs))
     return found.select("doc_id", "page_id", "language", F.round("probability", 6).alias("probability"), "text_language", "declared", "rejected")

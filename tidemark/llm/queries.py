@@ -9,6 +9,7 @@ from tidemark.llm.language import op6_language_id
 from tidemark.llm.licenses import OP4_SQL, op4_license_scan
 from tidemark.llm.lm import op10_lm_scoring
 from tidemark.llm.packing import op3_best_fit_packing
+from tidemark.llm.resample import OP13_SQL, op13_importance_resampling
 from tidemark.llm.simhash import op8_simhash_dedup
 from tidemark.llm.tokencount import op9_token_counts
 from tidemark.llm.topk import OP5_SQL, op5_exact_topk
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES = {
@@ -32,4 +34,5 @@ ORACLES = {
     "op4_license_scan": OP4_SQL,
     "op5_exact_topk": OP5_SQL,
     "op7_chat_formatting": OP7_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }

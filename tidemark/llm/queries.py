@@ -10,6 +10,7 @@ from tidemark.llm.licenses import OP4_SQL, op4_license_scan
 from tidemark.llm.lm import op10_lm_scoring
 from tidemark.llm.packing import op3_best_fit_packing
 from tidemark.llm.resample import OP13_SQL, op13_importance_resampling
+from tidemark.llm.search import OP11_SQL, op11_ranked_search
 from tidemark.llm.simhash import op8_simhash_dedup
 from tidemark.llm.tokencount import op9_token_counts
 from tidemark.llm.topk import OP5_SQL, op5_exact_topk
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_ranked_search": op11_ranked_search,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -34,5 +36,6 @@ ORACLES = {
     "op4_license_scan": OP4_SQL,
     "op5_exact_topk": OP5_SQL,
     "op7_chat_formatting": OP7_SQL,
+    "op11_ranked_search": OP11_SQL,
     "op13_importance_resampling": OP13_SQL,
 }

@@ -9,6 +9,7 @@ from tidemark.llm.language import op6_language_id
 from tidemark.llm.licenses import OP4_SQL, op4_license_scan
 from tidemark.llm.lm import op10_lm_scoring
 from tidemark.llm.packing import op3_best_fit_packing
+from tidemark.llm.privacy import op12_pii
 from tidemark.llm.resample import OP13_SQL, op13_importance_resampling
 from tidemark.llm.search import OP11_SQL, op11_ranked_search
 from tidemark.llm.simhash import op8_simhash_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_ranked_search": op11_ranked_search,
+    "op12_pii": op12_pii,
     "op13_importance_resampling": op13_importance_resampling,
 }
 

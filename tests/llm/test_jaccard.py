@@ -46,10 +46,11 @@ def test_stage_on_whole_table(spark):
     assert len(keep) < simhash.simhash_groups(docs).select("component_id").distinct().count()
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_families_with_edits(spark, monkeypatch, small):
-    """Families whose members are near only over others; a small ``SMALL`` sends them through the rounds."""
-    monkeypatch.setattr(jaccard, "SMALL", small)
+@pytest.mark.parametrize("first", [16, 1])
+def test_families_with_edits(spark, monkeypatch, first):
+    """Families whose members are near only over others; few first texts and small cells send them through the rounds."""
+    monkeypatch.setattr(jaccard, "FIRST", first)
+    monkeypatch.setattr(jaccard, "CELL_TEXTS", 4 * first)
     rng = random.Random(3)
     rows = []
     for family in range(6):
@@ -73,3 +74,31 @@ def test_bands_do_not_depend_on_the_slice():
     assert rows.tolist() == [0, 3, 4] and (keys[0] == keys[1]).all() and not (keys[0] == keys[2]).any()
     alone = jaccard.band_keys(np.frombuffer(texts[4].encode(), np.uint8), np.array([0, len(texts[4])]))[1]
     assert (alone[0] == keys[2]).all()
+
+
+def links_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("x"), "root": F.lit(1), "n": F.lit("n")})
+    roots = df.select(F.xxhash64("text").alias("text_hash"), F.xxhash64("text").alias("root"))
+    found = jaccard.similar_links(df, roots)
+    return 0 if found is None else found.count()
+
+
+def test_odd_tables(spark):
+    assert links_of(spark, []) == 0
+    assert links_of(spark, [(1, None), (2, ""), (None, "four words are short"), (3, "four words are short")]) == 0
+    long = [f"w{i}" for i in range(60_000)]
+    assert links_of(spark, [(1, " ".join(long)), (2, " ".join(long[:-9])), (3, " ".join(long[:-9])), (4, " ".join(long[:30_000]))]) == 1
+
+
+def test_large_group_of_near_copies(spark):
+    """5,000 near copies, told apart by two words each, are one group."""
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(5000):
+        words = base[:]
+        for at in rng.sample(range(150), 2):
+            words[at] = f"e{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert simhash.near_groups(df).select("root").distinct().count() == 1

@@ -4,8 +4,8 @@ import collections
 
 from conftest import SF
 from test_decontam import plain as plain_contamination
+from test_jaccard import plain_groups
 from test_packing import check as check_packing
-from test_simhash import plain_components, plain_print
 
 import corpus_pipeline
 
@@ -24,8 +24,7 @@ def test_stages_on_whole_table(spark):
     assert [d.columns for d in (identified, single, clean)] == [docs.columns] * 3
     rows = [(r.doc_id, r.text) for r in identified.collect()]
     assert {d for d, t in rows} >= {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
-    prints = [(d, plain_print(t)) for d, t in rows]
-    keep = sorted(set(plain_components(prints)))
+    keep = sorted(set(plain_groups(rows)))
     assert sorted(r.doc_id for r in single.collect()) == keep
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     left = [(r.doc_id, r.text) for r in single.collect()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_folder
+
 #: A-Z to a-z on UTF-8 bytes; every other byte stays, so non-ASCII letters are not touched.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Texts are worked on in slices of about this many bytes, so a worker's memory does not depend on the batch size.
@@ -73,3 +76,25 @@ def byte_alphabet() -> dict[int, str]:
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(visible)]
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Scratch:
+    """Tables of an iterative job in the shared folder; each is deleted when its readers are done."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.folder, self.paths = df.sparkSession, f"{shared_folder(df.sparkSession)}/staged/{uuid.uuid4().hex}", {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes the rows and returns a scan of the files, which cuts the lineage and survives lost executors."""
+        path = f"{self.folder}/{len(self.paths)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for table in tables:
+            if id(table) in self.paths:
+                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths[id(table)][0])
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                self.paths[id(table)] = ("", None)

@@ -33,7 +33,7 @@ GRAM_FIELDS = "fp long, pos int, size int, gram string, before array<string>, af
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
+    if len(_POWERS.get("up", ())) < max(n, 1):
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(max(n, 1 << 21), base, np.uint64)
             steps[0] = 1

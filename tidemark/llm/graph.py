@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.llm.common import Scratch
 
 
 def _directed(pairs: DataFrame) -> DataFrame:
@@ -37,11 +37,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (u, v): root is the smallest node reachable. No links, no rows.
 
     Rounds grow with the logarithm of the longest chain. A node with many links is a hot key of a grouping with
-    map-side combine and of a join, never one collected group. Each round is checkpointed to the shared folder, so a
-    lost executor costs a re-read.
+    map-side combine and of a join, never one collected group. Each round is written to the shared folder, so a lost
+    executor costs a re-read, and the round before is deleted.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    links = _directed(edges).checkpoint()
+    scratch = Scratch(edges)
+    links = scratch.table(_directed(edges), "links")
     while not _is_stars(links):
-        links = _small_star(_large_star(links)).checkpoint()
+        before, links = links, scratch.table(_small_star(_large_star(links)), "links")
+        scratch.drop(before)
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,9 +1,13 @@
-"""Pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Candidates share one of ``BANDS`` keys, each the hash of ``ROWS`` MinHash values: a pair at exactly 0.8 shares none with
-probability (1 - 0.8^5)^40, about 1.3 in ten million, a nearer pair with less. Every candidate is then decided on
-the words themselves. Buckets above ``SMALL`` texts are first compared with one of their own texts a round, which joins
-a group of near copies without all its pairs; what is still apart in a bucket is compared pair by pair, none left out.
+probability (1 - 0.8^4)^24, about 3 in a million, a nearer pair with less. Every candidate is then decided on all its
+shingles, as 64-bit hashes (n distinct ones collide with probability n^2 / 2^65).
+
+A bucket compares its first ``FIRST`` texts with all its texts; then these are done with and leave it. What is near is
+joined at once, and a bucket whose texts are all in one group leaves as a whole, so a large group of near copies is joined in
+a round. While texts of different groups are left, rounds go on with twice as many first texts. The texts of a bucket are
+dealt to cells of bounded size, in which their shingles arrive once. A few bands go first, as they join most groups.
 """
 
 from __future__ import annotations
@@ -12,20 +16,20 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, own_columns, text_slices
+from tidemark.llm.common import LOWER, Scratch, own_columns, text_slices
 from tidemark.llm.decontam import Words, _mixed
 from tidemark.llm.graph import components
 from tidemark.plans.staging import stage
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 40, 5
-#: Buckets up to this many texts are compared pair by pair at once; larger ones take at most ROUNDS rounds before.
-SMALL, ROUNDS = 16, 6
-#: Up to this many candidate texts their names are broadcast to the scan of the texts; beyond it both are shuffled.
-NAMED = 200_000
+BANDS, ROWS, LEAD = 24, 4, 4
+#: Texts of a bucket that are compared with all others in the first round.
+FIRST = 16
+#: A cell has about this many texts, and fewer if their shingles would be more than that.
+CELL_TEXTS, CELL_SHINGLES = 64, 1 << 20
 
 _IS_WORD = np.array([c not in b" \t\n\r\v\f" for c in range(256)])
 _FACTORS = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 7) | np.uint64(1)
@@ -37,12 +41,16 @@ def shingles(text: str | None, width: int = SHINGLE) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def band_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the texts that have a shingle of full width, and their band keys."""
+def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles of full width, the texts that have one, and where each text's hashes start."""
     words = Words(data, offsets, _IS_WORD)
     whole = words.same_text(SHINGLE)
-    grams = words.grams(SHINGLE, 3)[whole]
-    rows, starts = np.unique(words.row[: len(whole)][whole], return_index=True)
+    return words.grams(SHINGLE, 3)[whole], *np.unique(words.row[: len(whole)][whole], return_index=True)
+
+
+def band_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the texts that have a shingle of full width, and their band keys."""
+    grams, rows, starts = _grams(data, offsets)
     keys = np.zeros((len(rows), BANDS), np.uint64)
     for k, factor in enumerate(_FACTORS if len(rows) else ()):
         band = k // ROWS
@@ -58,15 +66,38 @@ def _key_batches(batches):
             yield pa.RecordBatch.from_arrays([batch.column("text_hash").take(pa.array(rows + first, pa.int64())), lists], ["text_hash", "keys"])
 
 
-def _near_batches(similarity: float):
-    def run(batches):
-        for batch in batches:
-            near = []
-            for a, b in zip(batch.column("u_text").to_pylist(), batch.column("v_text").to_pylist()):
-                a, b = shingles(a), shingles(b)
-                both = len(a & b)
-                near.append(both > 0 and both >= similarity * (len(a) + len(b) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+def _gram_batches(batches):
+    """Each text's distinct shingle hashes, sorted."""
+    for batch in batches:
+        for first, data, offsets in text_slices(batch.column("text")):
+            grams, rows, starts = _grams(data, offsets)
+            sets = [np.unique(part) for part in np.split(grams, starts[1:])] if len(rows) else []
+            yield pa.RecordBatch.from_arrays([batch.column("text_hash").take(pa.array(rows + first, pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())], ["text_hash", "grams", "n"])
+
+
+def _cell_links(similarity: float):
+    """Links that join the groups of a cell: every first text against every text, except where they are joined already."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        first = np.asarray(cell.column("first"))
+        root = np.asarray(cell.column("root")).copy()
+        sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in cell.column("grams")]
+        others = np.flatnonzero(~first)
+        sizes = np.array([len(sets[i]) for i in others], np.int64)
+        every = np.concatenate([np.zeros(0, np.uint64), *[sets[i] for i in others]])
+        owner = np.repeat(np.arange(len(others)), sizes)
+        links = []
+        for i in np.flatnonzero(first):
+            own = sets[i]
+            at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            both = np.bincount(owner[own[at] == every], minlength=len(others))
+            near = others[(both > 0) & (both >= similarity * (len(own) + sizes - both))]
+            for other in np.unique(root[near]):
+                if other != root[i]:
+                    links.append((root[i], other))
+                    root[root == other] = root[i]
+        u, v = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
@@ -81,47 +112,63 @@ def moved(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("to", "root")).drop("node", "to")
 
 
+def _live(members: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one group."""
+    split = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return members.join(split, "key", "left_semi")
+
+
+def _round_links(scratch: Scratch, members: DataFrame, grams: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """Links of all comparisons of the ``first`` texts of each bucket (key, text_hash, root, no) with its ``members``."""
+    chunk = F.greatest(F.lit(1), F.least(F.lit(CELL_TEXTS), F.floor(F.lit(CELL_SHINGLES) / F.max("n")).cast("int")))
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"), F.least(F.lit(FIRST), chunk).alias("chunk"))
+    cells = sizes.join(first.groupBy("key").agg(F.max("no").alias("last")), "key").withColumn("lists", F.floor(F.col("last") / F.col("chunk")).cast("int") + 1)
+    cells = scratch.table(cells.select("key", "chunks", "chunk", "lists"), "cells")
+    fields = ["key", "chunk_no", "list_no", "root", "grams"]
+    every = F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list_no")
+    theirs = members.join(cells, "key").select("key", "text_hash", "root", F.pmod(F.xxhash64("text_hash", F.lit(1)), F.col("chunks")).cast("int").alias("chunk_no"), every).join(grams.drop("n"), "text_hash").select(*fields, F.lit(False).alias("first"))
+    ours = first.join(grams.drop("n"), "text_hash").join(cells, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk_no"), F.floor(F.col("no") / F.col("chunk")).cast("int").alias("list_no"), "root", "grams", F.lit(True).alias("first"))
+    found = theirs.unionByName(ours).groupBy("key", "chunk_no", "list_no").applyInArrow(_cell_links(similarity), "u long, v long")
+    links = scratch.table(found.distinct(), "links")
+    scratch.drop(cells)
+    return links
+
+
 def similar_links(docs: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
-    """Links (u, v) of roots that join every pair of texts of that similarity or more; None if there is no candidate.
+    """Links (u, v) of roots that join every pair of texts of that similarity or more; None if there is none.
 
-    ``roots`` has text_hash and root, the group that a text is in already; texts of one group are not compared. Copies
-    are one text. Texts below five words have one shingle, so only equal words are near, which SimHash has joined.
+    ``roots`` has text_hash and root, the group that a text is in already; texts of one group need not be compared. Copies
+    are one text. Null and empty texts and those below five words have no shingle of full width and no links here: they
+    are alike only if their words are equal, which SimHash has joined. Texts of any length are read whole. An empty
+    table has no links, and of ``docs`` no column but text is read.
     """
+    scratch = Scratch(docs)
     base = own_columns(docs, text="string").withColumn("text_hash", F.xxhash64("text"))
     keys = base.mapInArrow(_key_batches, "text_hash long, keys array<long>").groupBy("text_hash").agg(F.min("keys").alias("keys"))
-    keyed = stage(keys.join(roots.distinct(), "text_hash"), "jaccard-keys").select("text_hash", "root", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    members = stage(keyed.join(shared, "key"), "jaccard-members")
-    named = stage(members.select("text_hash").distinct(), "jaccard-texts")
-    n = named.count()
-    if not n:
-        return None
-    texts = stage(base.join(F.broadcast(named) if n <= NAMED else named, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text")), "jaccard-candidates")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, u, b, v) of texts and roots, the links of the roots whose texts are near; the hot text may be a."""
-        there = pairs.join(texts.toDF("b", "v_text"), "b").join(texts.toDF("a", "u_text"), "a").select("u", "v", "u_text", "v_text")
-        return stage(there.mapInArrow(_near_batches(similarity), "u long, v long").distinct(), "jaccard-links")
-
+    keyed = scratch.table(keys.join(roots.distinct(), "text_hash"), "keys")
     links: list[DataFrame] = []
-
-    def apart(rows: DataFrame) -> DataFrame:
-        """Current roots, without the buckets that are in one group."""
-        now = moved(rows, joined(links)) if links else rows
-        split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-        return stage(now.join(split, "key"), "jaccard-apart")
-
-    left = apart(members)
-    for number in range(ROUNDS):
-        large = left.where(F.col("n") > SMALL)
-        if large.isEmpty():
-            break
-        first = large.groupBy("key").agg(F.min_by(F.struct("text_hash", "root"), F.xxhash64("text_hash", F.lit(number))).alias("first"))
-        pairs = large.join(first, "key").where("root <> first.root").select(F.col("first.text_hash").alias("a"), F.col("first.root").alias("u"), F.col("text_hash").alias("b"), F.col("root").alias("v"))
-        found = near(pairs.distinct())
-        if found.isEmpty():
-            break
-        links.append(found)
-        left = apart(left.drop("n"))
-    one, other = left.select("key", F.col("text_hash").alias("a"), F.col("root").alias("u")), left.select("key", F.col("text_hash").alias("b"), F.col("root").alias("v"))
-    return functools.reduce(DataFrame.unionByName, [*links, near(one.join(other, "key").where("u < v").drop("key").distinct())])
+    for low, count in ((0, LEAD), (LEAD, BANDS - LEAD)):
+        now = moved(keyed, joined(links)) if links else keyed
+        members = scratch.table(_live(now.select("text_hash", "root", F.explode(F.slice("keys", low + 1, count)).alias("key"))), "members")
+        named = scratch.table(members.select("text_hash").distinct(), "names")
+        if named.isEmpty():
+            continue
+        texts = base.join(named, "text_hash", "left_semi").mapInArrow(_gram_batches, "text_hash long, grams binary, n int")
+        grams = scratch.table(texts.groupBy("text_hash").agg(F.min("grams").alias("grams"), F.min("n").alias("n")), "grams")
+        left = scratch.table(members.join(grams.drop("grams"), "text_hash"), "left")
+        scratch.drop(members, named)
+        take = FIRST
+        while not left.isEmpty():
+            order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("text_hash"), "text_hash"))
+            first = scratch.table(left.withColumn("no", order).where(F.col("no") <= take).select("key", "text_hash", "root", (F.col("no") - 1).alias("no")), "first")
+            found = _round_links(scratch, left, grams, first, similarity)
+            rest = left.join(first.select("key", "text_hash"), ["key", "text_hash"], "left_anti")
+            if not found.isEmpty():
+                links.append(found)
+                rest = moved(rest, joined([found]))
+            before, left = left, scratch.table(_live(rest), "left")
+            scratch.drop(before, first)
+            take = min(2 * take, 1000)
+        scratch.drop(left, grams)
+    scratch.drop(keyed)
+    return stage(functools.reduce(DataFrame.unionByName, links), "similar-links") if links else None

@@ -10,7 +10,7 @@ from tidemark.functions import columns as fx
 from tidemark.functions.structural import Spec, staged
 from tidemark.operators import indices as ix
 from tidemark.operators.compare import pooled_d
-from tidemark.operators.ordered import exact_quantiles, with_position
+from tidemark.operators.ordered import exact_quantiles, null_safe_join, with_position
 from tidemark.operators.separation import epsilon_squared, kruskal
 from tidemark.plans.staging import stage
 
@@ -230,7 +230,7 @@ def evaluate_candidates(features: DataFrame, candidates: DataFrame, version: str
 
     staging (a function DataFrame, name -> DataFrame) keeps the scored rows for the several aggregates.
     """
-    rows = transforms(features).join(subject_folds(features, folds), "subject_id")
+    rows = null_safe_join(transforms(features), subject_folds(features, folds), ["subject_id"])  # rows without a subject are one subject
     if base == "global":
         rows = rows.withColumns({f"{k}_{t}": L(float(x)) for t in TRANSFORMS for k, x in zip("cs", cfg.CALIBRATION[t])})
     else:

@@ -47,12 +47,13 @@ def segment_record(df: DataFrame, **fields: Column) -> DataFrame:
 def label_runs(track: DataFrame, key: str = "recording_id", chunk_rows: int = 65536) -> DataFrame:
     """Maximal runs of equal label code over consecutive rows (gaps and islands) without a window over a whole recording.
 
-    Rows are compared with the row before, whatever its sample index, so a missing sample splits no run.
+    Rows are compared with the row before, whatever its sample index, so a missing sample splits no run. Rows without a
+    label make runs of their own.
     """
     placed = with_position(track, [key], ["i"], F.floor(F.col("i") / L(chunk_rows)))
     df = with_chunks(placed, [key], "pos", chunk_rows, 1)
     previous = F.lag("label_code").over(Window.partitionBy(key, "_chunk").orderBy("pos"))
-    df = df.withColumn("_new", (previous.isNull() | (previous != F.col("label_code"))).cast("int")).where(~F.col("_halo")).drop("_chunk", "_halo")
+    df = df.withColumn("_new", ((F.col("pos") == 0) | ~previous.eqNullSafe(F.col("label_code"))).cast("int")).where(~F.col("_halo")).drop("_chunk", "_halo")
     df = running_total(df, [key], "pos", F.col("_new"), "run_no", chunk_rows)
     return df.groupBy(key, "run_no").agg(
         F.first("label_code").alias("label_code"), F.min("i").alias("run_start"), (F.max("i") + L(1)).alias("run_end"))

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.clusters import agreement, centroid_drift, cluster_shares, information_criteria, internal_indices
 from tidemark.operators.ordered import exact_quantiles, null_safe_join, with_position
 
-PASSES, TOLERANCE, RIDGE = 40, 1e-4, 1e-6
+PASSES, RIDGE = 40, 1e-6
+#: A candidate rests when its centres move less than the first in a step, or its mean log likelihood gains less than the second.
+REST = (1e-4, 1e-3)
 #: Rows of a group from which first centres are drawn (those of least hash); the fits themselves use all rows.
 SEEDING = 512
 
@@ -74,12 +76,12 @@ class Model:
         held = np.maximum(n, 1e-12)[:, None]
         means = np.where(n[:, None] > 1e-9, table[:, 1 : 1 + d] / held, self.means)
         if self.algorithm == "kmeans":
-            return replace(self, means=means, merit=merit), float(((means - self.means) ** 2).sum()) > TOLERANCE**2
+            return replace(self, means=means, merit=merit), float(((means - self.means) ** 2).sum()) > REST[0] ** 2
         second = table[:, 1 + d :].reshape(k, d, d) / held[:, :, None]
         covs = second - means[:, :, None] * means[:, None, :] + RIDGE * np.eye(d)
         covs = np.where((n > 1e-9)[:, None, None], (covs + covs.transpose(0, 2, 1)) / 2, self.covs)
         covs = np.array([c if np.linalg.eigvalsh(c)[0] > 0 else c + (RIDGE - np.linalg.eigvalsh(c)[0]) * np.eye(d) for c in covs])
-        return replace(self, means=means, covs=covs, shares=n / n.sum(), merit=merit), abs(merit - self.merit) > TOLERANCE * max(n.sum(), 1.0)
+        return replace(self, means=means, covs=covs, shares=n / n.sum(), merit=merit), abs(merit - self.merit) > REST[1] * max(n.sum(), 1.0)
 
 
 def terms(x: np.ndarray) -> np.ndarray:

@@ -1,5 +1,7 @@
 """Main text of pages: the tables' pages against SQL, other page forms against their article."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 from conftest import SF
@@ -31,6 +33,52 @@ def test_reader_comments_are_left_out():
     assert text.startswith("Own text\n\nOwn end") and "reader" not in text
 
 
+KEPT = {
+    "discussion": '<section id="discussion"><p>kept words</p></section>', "related": '<section class="related-work"><p>kept words</p></section>', "beside": '<div class="side-by-side"><p>kept words</p></div>',
+    "search": '<section id="search"><p>kept words</p></section>', "period": '<div class="notice-period"><p>kept words</p></div>', "label": "<p>one <label>kept words</label> x</p>", "math": "<p>x <math><mi>kept words</mi></math></p>",
+    "select": "<select><option>no<p>kept words</p>", "object": "<object data=x>no<p>kept words</p>", "list": "<ul><li>kept words<li>two</ul>", "links": "<ul><li><a href=x>kept words</a></ul>",
+}
+
+
+def _weights(pages):
+    counts: Counter = Counter()
+    for page in pages:
+        counts.update(html.labelled_counts(page))
+    return html.weigh(counts)
+
+
+def _table():
+    rows = duckdb.connect().execute(f"select page_id, html, text from read_parquet('{SF}/pages.parquet') join (select page_id, text from ({html.OP2_SQL.replace('from pages', f"from read_parquet('{SF}/pages.parquet')")})) using (page_id)").fetchall()
+    return [r for r in rows if r[0] % 2], [r for r in rows if not r[0] % 2]
+
+
+@pytest.mark.parametrize("element", ["article", "div"])
+@pytest.mark.parametrize("name", KEPT)
+def test_text_of_the_article_stays(name, element):
+    page = f"{HEAD}{NAV}<{element}><h1>Title here</h1><p>First words of it.</p>{KEPT[name]}<p>Then the last words.</p></{element}><footer>foot note</footer></body></html>"
+    for weights in ({}, _weights([h for _, h, _ in _table()[0]])):
+        text = html.main_text(page, weights)
+        assert text.startswith("Title here") and text.endswith("last words.") and "kept words" in text and "no" not in text.split()
+
+
+def test_held_back_pages_without_the_article_element():
+    learned, held = _table()
+    weights = _weights([h for _, h, _ in learned])
+    assert held and all(html.main_text(h.replace("<article", "<div").replace("</article", "</div"), weights) == text for _, h, text in held)
+
+
+def test_the_labels_decide():
+    page = '<body><div class="zq">several words of one box</div>{}<p>the words of the other part</p>{}</body>'
+    plain = page.format("<div>", "</div>")
+    outside, inside = _weights([page.format("<article>", "</article>")]), _weights(['<body><article><div class="zq">several words of one box</div></article><p>the words of the other part</p></body>'])
+    assert html.main_text(plain, {}).startswith("several") and html.main_text(plain, inside).startswith("several")
+    assert outside["class=zq"] < 0 < inside["class=zq"] and html.main_text(plain, outside) == "the words of the other part"
+
+
+def test_a_page_of_open_elements_takes_linear_time():
+    assert html.main_text("<div>" * 50_000 + "some words" + "</section>" * 50_000, {}) == "some words"
+
+
 def test_best_run_is_the_maximum():
     import itertools
     import random

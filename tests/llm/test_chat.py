@@ -54,3 +54,15 @@ def test_whole_table_against_sql(spark):
 
     name = "op7_chat_formatting"
     assert compare(spark, connect(SF), queries()[name], oracle_sql()[name], SF).startswith("ok")
+
+
+def test_long_conversation_over_block_borders(spark):
+    n = 2 * chat.BLOCK + 5
+    rows = [(1, i, "assistant" if i % 3 else "user", f"{i} </s>␛ x") for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    plan = chat.format_chats(df)
+    assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+    r = plan.select("*", chat.read_back(F.col("formatted")).alias("back"), chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [(t.role, t.text) for t in r.back] == [(role, text) for _, _, role, text in rows]
+    assert r.loss == "".join(text for _, _, role, text in rows if role == "assistant")
+    assert [(run.role, list(run.texts)) for run in r.runs][:3] == [("user", [rows[0][3]]), ("assistant", [rows[1][3], rows[2][3]]), ("user", [rows[3][3]])]

@@ -10,7 +10,7 @@ and a letter, so the parts of a text can be told from the template and every tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import own_columns
@@ -20,6 +20,8 @@ BOS, EOS, OPEN, CLOSE, NEXT = "<s>", "</s>", "[INST]", "[/INST]", "[NEXT]"
 ESCAPE = "␛"
 LETTERS = {BOS: "b", EOS: "e", OPEN: "o", CLOSE: "c", NEXT: "n"}
 ESCAPED_ESCAPE = ESCAPE + "x"
+#: Running sums grow within blocks of so many turns, and over blocks, so that a long conversation takes about linear time.
+BLOCK = 1024
 
 
 def escape(text: Column) -> Column:
@@ -36,6 +38,27 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit(ESCAPED_ESCAPE), F.lit(ESCAPE))
 
 
+def _blocks(values: Column) -> Column:
+    """An array cut into arrays of BLOCK values."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
+
+
+def _running(values: Column) -> Column:
+    """0 and the running sums of an array of long."""
+    return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda sums, v: F.concat(sums, F.array(F.element_at(sums, -1) + v)))
+
+
+def _tail(t: Column) -> Column:
+    return F.when(t.closes, F.lit(len(EOS))).otherwise(0)
+
+
+def _sizes(turns: Column) -> Column:
+    """Code points that each turn adds: what stands before its text, the text, and the end of its run."""
+    header = lambda t: F.when(t.n == 1, F.lit(len(BOS))).otherwise(0) + len(OPEN) + F.char_length(escape(t.role)) + len(CLOSE)
+    lead = lambda t: F.when(t.opens, header(t)).otherwise(len(NEXT))
+    return F.transform(turns, lambda t: (lead(t) + F.char_length(t.body) + _tail(t)).cast("long"))
+
+
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, runs, formatted, loss_spans.
 
@@ -43,35 +66,28 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     repeated rows have a defined order; repeated rows are turns of their own. A null text or role is empty, a null
     conv_id is a conversation of its own. ``runs`` is the merged form: array<struct<role, texts>>. ``loss_spans`` is
     array<struct<start, stop>>: code points of ``formatted`` that the loss covers, one span per turn of ``loss_role``,
-    without template and separators. Offsets are running sums of a sorted window, so a very long conversation stays
-    linear; as its text is one value, one conversation is one row. An empty table gives no rows.
+    without template and separators. Everything is built from the sorted array of a conversation's turns; as its text is
+    one value, one conversation is one row. An empty table gives no rows.
     """
     base = own_columns(turns, conv_id="long", turn="long", role="string", text="string")
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    filled = base.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = filled.withColumns({
-        "n": F.row_number().over(order),
-        "opens": ~F.lag("role").over(order).eqNullSafe(F.col("role")),
-        "closes": ~F.lead("role").over(order).eqNullSafe(F.col("role")),
-    })
-    head = F.when(F.col("n") == 1, F.lit(BOS)).otherwise(F.lit(""))
-    header = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE))
-    parts = marked.withColumns({
-        "lead": F.when(F.col("opens"), F.concat(head, header)).otherwise(F.lit(NEXT)),
-        "body": escape(F.col("text")),
-        "tail": F.when(F.col("closes"), F.lit(EOS)).otherwise(F.lit("")),
-    })
-    placed = parts.withColumn("start", F.coalesce(F.sum(F.char_length("lead") + F.char_length("body") + F.char_length("tail")).over(before), F.lit(0)) + F.char_length("lead"))
-    turn = F.struct("n", "role", "text", "opens", F.concat("lead", "body", "tail").alias("piece"), "start", (F.col("start") + F.char_length("body")).alias("stop"))
-    grouped = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    starts = F.filter("turns", lambda t: t.opens)
-    runs = F.transform(
-        F.col("starts"),
-        lambda s, i: F.struct(s.role.alias("role"), F.transform(F.slice("turns", s.n, F.coalesce(F.get(F.col("starts"), i + 1).n, F.size("turns") + 1) - s.n), lambda t: t.text).alias("texts")),
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    grouped = base.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("sorted"))
+    other = lambda t, i: ~F.get(F.col("sorted"), i).role.eqNullSafe(t.role)
+    marked = grouped.withColumn("turns", F.transform("sorted", lambda t, i: F.struct((i + 1).alias("n"), t.role.alias("role"), escape(t.text).alias("body"), t.text.alias("text"), ((i == 0) | other(t, F.greatest(i - 1, F.lit(0)))).alias("opens"), other(t, i + 1).alias("closes"))))
+    merged = marked.withColumns({"starts": F.filter("turns", lambda t: t.opens), "sizes": _sizes(F.col("turns"))})
+    runs = F.transform("starts", lambda s, i: F.struct(s.role.alias("role"), F.slice("turns", s.n, F.coalesce(F.get(F.col("starts"), i + 1).n, F.size("turns") + 1) - s.n).alias("turns")))
+    placed = merged.withColumns({"runs": runs, "inside": F.transform(_blocks(F.col("sizes")), _running)})
+    bases = _running(F.transform("inside", lambda block: F.element_at(block, -1)))
+    parts = F.zip_with("inside", bases, lambda block, base: F.transform(F.slice(block, F.lit(2), F.coalesce(F.size(block), F.lit(1)) - 1), lambda end: end + base))
+    ends = F.flatten(F.filter(parts, lambda part: part.isNotNull()))
+    span = lambda t, end: F.when(t.role == loss_role, F.struct((end - _tail(t) - F.char_length(t.body)).alias("start"), (end - _tail(t)).alias("stop")))
+    block = lambda r: F.concat(F.lit(OPEN), escape(r.role), F.lit(CLOSE), F.array_join(F.transform(r.turns, lambda t: t.body), NEXT), F.lit(EOS))
+    return placed.select(
+        "conv_id",
+        F.transform("runs", lambda r: F.struct(r.role.alias("role"), F.transform(r.turns, lambda t: t.text).alias("texts"))).alias("runs"),
+        F.concat(F.lit(BOS), F.array_join(F.transform("runs", block), "")).alias("formatted"),
+        F.filter(F.zip_with("turns", ends, span), lambda s: s.isNotNull()).alias("loss_spans"),
     )
-    spans = F.transform(F.filter("turns", lambda t: t.role == loss_role), lambda t: F.struct(t.start.cast("long").alias("start"), t.stop.cast("long").alias("stop")))
-    return grouped.withColumn("starts", starts).select("conv_id", runs.alias("runs"), F.array_join(F.transform("turns", lambda t: t.piece), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -138,3 +138,22 @@ ORACLES["f14_f15_source_preference"] = ctes([fx_cte()],
 _provs = ["stress_label", *cfg.EEG_FEATURES, *cfg.CARDIAC_FEATURES]
 _cnt = lambda kind: "cast(" + " + ".join(f"(prov_{p} = '{kind}')::int" for p in _provs) + " as bigint)"
 ORACLES["f16_provenance_counts"] = ctes([fx_cte()], f"select segment_id, {_cnt('direct')} as direct_feature_count, {_cnt('proxy')} as proxy_feature_count, {_cnt('unavailable')} as unavailable_feature_count, prov_heart_rate as heart_rate_prov from fx")
+
+_rate = "case when channel in ('AF3', 'AF4') then 128e0 else 100e0 end"
+ORACLES["s25_s07_cut_signals"] = ctes([*REC, ("a", f"select *, {_rate} as rate from rec"), ("d", "select segment_id, max(len(samples) / rate) as d from a group by all"),
+    ("w", "select segment_id, unnest(case when d > 1.5 then range(0, cast(floor((round_even(d * 1000, 0) - 1500) / 700) as bigint) + 1) else [null] end) as k from d"),
+    ("b", """select a.*, k, case when k is null then 0 else cast(round_even(k * 700 / 1000e0 * rate, 0) as bigint) end as s,
+        case when k is null then len(samples) else cast(round_even((k * 700 + 1500) / 1000e0 * rate, 0) as bigint) end as e from a join w using (segment_id)"""),
+    ("c", "select *, samples[s + 1:e] as x from b")],
+    f"""select segment_id, case when k is null then segment_id else segment_id || '_dyn' || lpad(cast(k as varchar), 3, '0') end as sub_id, case when channel in ('AF3', 'AF4') then 'eeg' else 'ecg' end as signal, channel,
+    s as start, e as "end", len(x) as n, {rx('coalesce(list_sum(list_transform(x, lambda v: cast(v as double))), 0e0)', 'total')}, {rx('coalesce(list_sum(list_transform(x, lambda v, i: cast(v as double) * i)), 0e0)', 'moment')} from c""")
+_place = "list_value(" + ", ".join(f"'{c}'" for c in (*cfg.DEAP_CHANNELS, *cfg.DEAP_PERIPHERAL)) + ")[position + 1]"
+ORACLES["s06_trial_signals"] = ctes([
+    ("p", "select cast(vec_id as bigint) // 80 as trial_id, (cast(vec_id as bigint) % 80) // 2 as position, cast(vec_id as bigint) % 2 as part, embedding from embeddings"),
+    ("g", "select trial_id, position, flatten(list(embedding order by part)) as samples from p group by all"),
+    ("t", "select trial_id, max(part) * 64 + 64 as n, 1 + (trial_id * 37 % 81) / 10e0 as valence, 1 + (trial_id * 53 % 81) / 10e0 as arousal from p group by trial_id"),
+    ("w", _bounds("t", "trial_id, valence, arousal", "(n - 96)", 32.0, 0.5, 0.25)),
+    ("c", 'select *, start + 96 as s, "end" + 96 as e, samples[start + 97:"end" + 96] as x from g join w using (trial_id) where position < 32 or position > 35')],
+    f"""select trial_id, window_index, case when arousal >= 5.5 and valence <= 4.5 then 'stress' when arousal <= 4.5 and valence >= 5.5 then 'baseline' else 'disbalance' end as label,
+    case position when 36 then 'gsr' when 37 then 'respiration' when 38 then 'ppg' when 39 then 'temperature' else 'eeg' end as signal, {_place} as channel, s as start, e as "end", len(x) as n,
+    {rx('coalesce(list_sum(list_transform(x, lambda v: cast(v as double))), 0e0)', 'total')} from c""")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tidemark import config as cfg
+from tidemark.functions import columns as fx
+from tidemark.operators import pieces as pc
 from tidemark.operators import signals as sg
 from tidemark.operators import windows as wd
 from tidemark.plans.output import finish
@@ -178,6 +180,42 @@ def epochs(spark, sf_dir):
     return finish(wd.epoch_segments(df, 4.0).select("event_id", "state", "phase_name", "window_start_sec", "window_end_sec"))
 
 
+#: Rates of the channels of the cut recordings: two clocks.
+_CLOCKS = {"AF3": 128.0, "AF4": 128.0, "F7": 100.0, "F8": 100.0}
+
+
+def _cut(spark, sf_dir):
+    """Sub-windows of all recordings and their signals, joined as pieces of 64 samples."""
+    pieces = fixture(spark, sf_dir, "fx_signals").select(
+        "segment_id", F.when(F.col("channel").isin("AF3", "AF4"), "eeg").otherwise("ecg").alias("signal"), "channel", fx.by_key(F.col("channel"), _CLOCKS).alias("rate"),
+        (F.col("part") * 64).alias("first"), "samples")
+    whole = pieces.groupBy("segment_id").agg(F.max((F.col("first") + 64) / F.col("rate")).alias("segment_duration_sec"))
+    n = F.regexp_extract("segment_id", "[0-9]+", 0).cast("long")
+    segments = whole.withColumns({"parent": F.col("segment_id"), "window_start_sec": n * 10.0, "window_end_sec": L(None).cast("double")})
+    windows = wd.expand_segments(segments, 1.5, 0.7).select(F.col("parent").alias("segment_id"), F.col("segment_id").alias("sub_id"), "local_start_sec", "local_end_sec")
+    return pc.cut_signals(pieces, windows, ["segment_id"], "sub_id", "local_start_sec", "local_end_sec")
+
+
+def cut_signals(spark, sf_dir):
+    """Every signal of a segment cut to its sub-windows at its own rate."""
+    moment = F.aggregate(F.transform("samples", lambda x, i: x * (i + 1)), L(0.0), lambda a, x: a + x)
+    return finish(_cut(spark, sf_dir).select(
+        "segment_id", "sub_id", "signal", "channel", "start", "end", F.size("samples").alias("n"), F.aggregate("samples", L(0.0), lambda a, x: a + x).alias("total"), moment.alias("moment")))
+
+
+def trial_signals(spark, sf_dir):
+    """Forty channels a trial named by position, windows after the trimmed start, samples of each window."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("v"), "embedding")
+    pieces = e.select(F.floor(F.col("v") / 80).alias("trial_id"), F.floor(F.col("v") % 80 / 2).alias("position"), L(32.0).alias("rate"), (F.col("v") % 2 * 64).alias("first"), F.col("embedding").alias("samples"))
+    named = pc.deap_signals(pieces)
+    t = F.col("trial_id")
+    trials = pieces.groupBy("trial_id").agg((F.max("first") + 64).alias("n")).withColumns({"dataset": L("deap"), "valence": 1 + (t * 37 % 81) / L(10.0), "arousal": 1 + (t * 53 % 81) / L(10.0)})
+    windows = wd.trial_windows(trials, 32.0, F.col("n"), 3.0, 0.5, 0.25).withColumn("window_index", F.col("window_index").cast("long"))
+    cut = pc.cut_signals(named, windows, ["trial_id"], "window_index", "window_start_sec", "window_end_sec").join(windows.select("trial_id", "window_index", "label"), ["trial_id", "window_index"])
+    return finish(cut.where("signal <> 'peripheral'").select(
+        "trial_id", "window_index", "label", "signal", "channel", "start", "end", F.size("samples").alias("n"), F.aggregate("samples", L(0.0), lambda a, x: a + x).alias("total")))
+
+
 def fallback(spark, sf_dir):
     """S24."""
     f = fixture(spark, sf_dir, "fx_signals")
@@ -273,7 +311,7 @@ QUERIES = {
     "s06_trial_windows": trial_windows, "s07_dual_rate": dual_rate, "s08_mean_lead": mean_lead, "s09_s10_units": physical_units,
     "s11_stimulus_order": stimulus_order, "s12_s14_stimulus_offsets": stimulus_offsets, "s13_interval_windows": interval_windows,
     "s15_s16_target_events": target_events, "s17_s18_event_means": event_means, "s19_path_ids": path_ids, "s20_self_report_lookup": self_report_lookup,
-    "s22_text_labels": text_labels, "s23_epochs": epochs, "s24_fallback_signal": fallback, "s25_s26_expand_segments": expanded, "s27_quarantine": quarantine,
+    "s22_text_labels": text_labels, "s23_epochs": epochs, "s24_fallback_signal": fallback, "s25_s26_expand_segments": expanded, "s25_s07_cut_signals": cut_signals, "s06_trial_signals": trial_signals, "s27_quarantine": quarantine,
     "s28_discover_runs": runs, "s29_sinks": sinks, "f01_f02_band_power": band_powers, "f03_f06_eeg_features": eeg_features, "f09_f13_rr_features": rr_features,
     "f14_f15_source_preference": source_preference, "f16_provenance_counts": provenance_counts, "f07_f08_f18_heart_features": heart_signals,
 }

@@ -162,6 +162,9 @@ ORACLES["c17_box_quantiles"] = ctes(results(["V4", "V6"], ["hybrid"]),
     {rx('quantile_cont(score, 0.5)', 'median')}, {rx('quantile_cont(score, 0.75)', 'q3')} from res where score is not null group by all""")
 ORACLES["c17_scatter_pairs"] = ctes(results(["V4"], ["hybrid"]), f"select {KEYS}, segment_id, label, {rx('valence', 'x')}, {rx('Q', 'y')} from res where valence is not null and Q is not null")
 
+ORACLES["c17_k27_scatter_sample"] = ctes(results(["V4", "V6"], ["hybrid"]), f"""select {KEYS}, segment_id, label, {rx('valence', 'x')}, {rx('score', 'y')} from res where valence is not null and score is not null
+    qualify row_number() over (partition by {KEYS} order by md5('42:' || segment_id)) <= 2500""")
+
 
 def _avail(cols, variant):
     return " union all ".join(

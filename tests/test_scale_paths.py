@@ -128,3 +128,19 @@ def test_tails():
 def test_montage_sides():
     sides = [s for _, _, _, s in cfg.channel_rows()]
     assert sides.count("left") == sides.count("right")
+
+
+def test_scatter_sample_is_the_same_for_any_partitioning(spark):
+    import hashlib
+
+    from tidemark.operators import compare as cp
+
+    rows = [(g, f"s{i}", float(i)) for g, n in (("hot", 3000), ("cold", 5), (None, 40)) for i in range(n)] + [("cold", None, 1.0), ("cold", None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, segment_id string, x double")
+    mark = lambda r: (hashlib.md5(f"42:{r[1] or ''}".encode()).hexdigest(), r[1] is not None, r[1] or "", r[2])
+    want = sorted((r for g in ("hot", "cold", None) for r in sorted((r for r in rows if r[0] == g), key=mark)[:30]), key=str)
+    for parts in (1, 7):
+        sample = cp.scatter_sample(df.repartition(parts), ["g"], limit=30)
+        assert sorted((tuple(r) for r in sample.collect()), key=str) == want
+    assert "WindowGroupLimit" in sample._jdf.queryExecution().executedPlan().toString()
+    assert cp.scatter_sample(df.where("false"), ["g"]).count() == 0

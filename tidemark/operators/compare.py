@@ -167,3 +167,19 @@ def box_quantiles(results: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def scatter_pairs(results: DataFrame, x: str, y: str, keys: list[str] = KEYS) -> DataFrame:
     return results.select(*keys, "segment_id", "label", F.col(x).alias("x"), F.col(y).alias("y")).dropna(subset=["x", "y"])
+
+
+#: Points of a scatter plot.
+SCATTER_POINTS = 2500
+
+
+def scatter_sample(points: DataFrame, groups: list[str], point: str = "segment_id", limit: int = SCATTER_POINTS, seed: int = 42) -> DataFrame:
+    """At most ``limit`` points of each group: those of the smallest md5 of seed and id, whatever the partitioning.
+
+    Ties are ordered by all other columns, NULL ids by the digest of the empty id; NULL groups are groups. Every task keeps
+    its own ``limit`` least before the shuffle (the planner's group limit), so no group arrives whole in one task.
+    """
+    mark = F.md5(F.concat(L(f"{seed}:"), F.coalesce(F.col(point).cast("string"), L(""))))
+    rest = [c for c in points.columns if c not in groups]
+    order = Window.partitionBy(*groups).orderBy("_mark", *rest)
+    return points.withColumn("_mark", mark).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit).drop("_mark", "_place")

@@ -112,6 +112,11 @@ def scatter(spark, sf_dir):
     return finish(cp.scatter_pairs(results(spark, sf_dir, "hybrid", ("V4",)), "valence", "Q"))
 
 
+def scatter_points(spark, sf_dir):
+    """The points of the scatter plots, at most 2,500 a dataset, mode and version."""
+    return finish(cp.scatter_sample(cp.scatter_pairs(results(spark, sf_dir, "hybrid", ("V4", "V6")), "valence", "score"), cp.KEYS))
+
+
 def availability(spark, sf_dir):
     """F19, both column lists."""
     df = features(spark, sf_dir)
@@ -187,6 +192,7 @@ QUERIES = {
     "c16_trajectories": trajectories,
     "c17_box_quantiles": boxes,
     "c17_scatter_pairs": scatter,
+    "c17_k27_scatter_sample": scatter_points,
     "f19_availability": availability,
     "d01_d06_causal_frames": dynamics_frames,
     "d05_d11_recurrences": dynamics_recurrences,

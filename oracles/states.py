@@ -41,9 +41,6 @@ ORACLES = {
     "k01_labels": ctes(BASE, "select version, label, n, place from lb"),
     "k02_measures": ctes(BASE, "select version, measure, count(*) as n_values from ml group by all having measure = 'score' or count(*) >= 20"),
     "k03_l07_kruskal": ctes(BASE + kw("ml", "version, measure", "label", "x"), f"select version, measure, n, k, smallest, {r('h')}, {rx(_eps, 'epsilon_squared')}, {rx(_chi2, 'p_value')} from kh"),
-    "k04_rank_sum": ctes(BASE + [("rk_", rank_cte("sd", "version, measure, pair_key", "x"))],
-        f"""select version, measure, pair_key, count(*) filter (side = 'a') as n_a, count(*) filter (side = 'b') as n_b, {rx('sum(tie::double * tie - 1)', 'tie_term')},
-        {rx("sum(rk) filter (side = 'a') - count(*) filter (side = 'a') * (count(*) filter (side = 'a') + 1) / 2e0", 'u')} from rk_ group by all"""),
 }
 PS = [
     ("pa", """select version, measure, pair_key, label_a, label_b, count(*) filter (side = 'a') as n_a, count(*) filter (side = 'b') as n_b, avg(x) filter (side = 'a') as mean_a,
@@ -55,25 +52,51 @@ PS = [
         case when lo < hi then ovl end as distribution_overlap from pa join po using (version, measure, pair_key)"""),
 ]
 ORACLES["k05_k07_pair_statistics"] = ctes(BASE + PS, f"select version, measure, pair_key, n_a, n_b, {r('mean_a', 'mean_b', 'mean_diff', 'effect_size', 'distribution_overlap')} from ps")
-ORACLES["k08_k09_holm_grade"] = ctes(BASE + PS + [
-    ("h1", "select *, pow(distribution_overlap, 40) as p from ps"),
+# two-sided normal tail with tie and continuity correction: the chi-square series with one degree of freedom at z squared
+_z2 = "pow(greatest(u, n_a * n_b - u) - n_a * n_b / 2e0 - 0.5e0, 2) / nullif(n_a::double * n_b / 12e0 * (n_a + n_b + 1 - tie_term / ((n_a + n_b)::double * (n_a + n_b - 1))), 0e0)"
+_tail = """1e0 - list_sum(list_transform(range(0, cast(400 + z2 as bigint)), lambda i: exp((0.5e0 + i) * ln(z2 / 2e0) - z2 / 2e0 - lgamma(1.5e0 + i))))"""
+RS = [
+    ("rk_", rank_cte("sd", "version, measure, pair_key", "x")),
+    ("ru", """select version, measure, pair_key, count(*) filter (side = 'a') as n_a, count(*) filter (side = 'b') as n_b, sum(tie::double * tie - 1) as tie_term,
+        sum(rk) filter (side = 'a') - count(*) filter (side = 'a') * (count(*) filter (side = 'a') + 1) / 2e0 as u from rk_ group by all"""),
+    ("rz", f"select *, {_z2} as z2 from ru"),
+    ("rp", f"select *, case when z2 is null or greatest(u, n_a * n_b - u) - n_a * n_b / 2e0 <= 0.5e0 then 1e0 when z2 > 1400 then 0e0 else greatest({_tail}, 0e0) end as p_value from rz"),
+]
+ORACLES["k04_rank_sum"] = ctes(BASE + RS, f"select version, measure, pair_key, n_a, n_b, {r('tie_term', 'u', 'p_value')} from rp")
+HOLM = PS + RS + [
+    ("h1", "select ps.*, p_value as p from ps join rp using (version, measure, pair_key)"),
     ("h2", """select *, least(1e0, coalesce(p, 1e0) * (count(*) over (partition by version, measure) - row_number() over (partition by version, measure order by coalesce(p, 1e0), pair_key) + 1)) as adj from h1"""),
-    ("h3", "select *, max(adj) over (partition by version, measure order by coalesce(p, 1e0), pair_key rows unbounded preceding) as p_holm from h2")],
-    f"""select version, measure, pair_key, {r('p_holm')}, cast(case when effect_size is null or distribution_overlap is null then 0
-    when p_holm < 0.01 and abs(effect_size) >= 0.75 and distribution_overlap <= 0.7 then 3 when p_holm < 0.05 and abs(effect_size) >= 0.35 and distribution_overlap <= 0.85 then 2
-    when p_holm < 0.1 and (abs(effect_size) >= 0.2 or distribution_overlap <= 0.92) then 1 else 0 end as bigint) as grade from h3""")
+    ("h3", "select *, max(adj) over (partition by version, measure order by coalesce(p, 1e0), pair_key rows unbounded preceding) as p_value_holm from h2"),
+    ("h4", """select *, cast(case when effect_size is null or distribution_overlap is null then 0
+        when p_value_holm < 0.01 and abs(effect_size) >= 0.75 and distribution_overlap <= 0.7 then 3 when p_value_holm < 0.05 and abs(effect_size) >= 0.35 and distribution_overlap <= 0.85 then 2
+        when p_value_holm < 0.1 and (abs(effect_size) >= 0.2 or distribution_overlap <= 0.92) then 1 else 0 end as bigint) as grade from h3"""),
+]
+ORACLES["k08_k09_holm_grade"] = ctes(BASE + HOLM, f"select version, measure, pair_key, {r('p_value_holm')}, grade from h4")
 _full = " and ".join(f"{m} is not null" for m in MEASURES)
 _sc = ", ".join(
     f"(avg({m}) - any_value({m}2)) / coalesce(nullif(any_value({m}3) - any_value({m}1), 0e0), 1e0) as {m}" for m in MEASURES)
-ORACLES["k10_centroid_distance"] = ctes(BASE + [
+_gap = "sqrt(" + " + ".join(f"pow(b.{m} - a.{m}, 2)" for m in MEASURES) + ")"
+CENTROID = [
     ("cf", f"select ok.* from ok join lb using (version, label) where {_full}"),
     ("cq", "select version, " + ", ".join(f"quantile_cont({m}, {q}) as {m}{i}" for m in MEASURES for i, q in ((1, 0.25), (2, 0.5), (3, 0.75))) + " from cf group by version"),
-    ("cc", f"select version, label, {_sc} from cf join cq using (version) group by version, label")],
-    "select p.version, p.pair_key, " + rx("sqrt(" + " + ".join(f"pow(b.{m} - a.{m}, 2)" for m in MEASURES) + ")", "centroid_distance")
-    + " from pr p join cc a on a.version = p.version and a.label = p.label_a join cc b on b.version = p.version and b.label = p.label_b")
+    ("cc", f"select version, label, {_sc} from cf join cq using (version) group by version, label"),
+    ("cd", f"select p.version, p.pair_key, {_gap} as centroid_distance from pr p join cc a on a.version = p.version and a.label = p.label_a join cc b on b.version = p.version and b.label = p.label_b"),
+]
+ORACLES["k10_centroid_distance"] = ctes(BASE + CENTROID, f"select version, pair_key, {r('centroid_distance')} from cd")
+AGGREGATE = HOLM + CENTROID + [
+    ("g1", """select version, pair_key, label_a, label_b, count(*) filter (grade >= 2) as supported_measures, coalesce(max(grade) filter (measure = 'score'), 0) as primary_measure_grade
+        from h4 group by all"""),
+    ("g2", """select g1.*, centroid_distance, cast(case when centroid_distance >= 1.25 then 3 when centroid_distance >= 0.8 then 2 when centroid_distance >= 0.45 then 1 else 0 end as bigint) as centroid_grade
+        from g1 left join cd using (version, pair_key)"""),
+    ("g3", """select *, primary_measure_grade >= 2 or supported_measures >= 2 or (supported_measures >= 1 and centroid_grade >= 2) as pair_supported from g2"""),
+    ("g4", """select *, cast(case when primary_measure_grade >= 3 or (supported_measures >= 3 and centroid_grade >= 2) then 3 when pair_supported then 2
+        when primary_measure_grade >= 1 or supported_measures >= 1 or centroid_grade >= 1 then 1 else 0 end as bigint) as grade_score from g3"""),
+]
+ORACLES["k11_pair_aggregate"] = ctes(BASE + AGGREGATE, f"""select version, pair_key, label_a, label_b, supported_measures, primary_measure_grade, {r('centroid_distance')}, centroid_grade, pair_supported, grade_score,
+    case grade_score when 3 then 'strong' when 2 then 'moderate' when 1 then 'weak' else 'none' end as separation_grade from g4""")
 # every subset of the (at most five) labels as a bit mask, unsupported pairs excluded
-ORACLES["k12_supported_set"] = ctes(BASE + PS + [
-    ("su", "select version, label_a, label_b from ps where measure = 'score' and abs(effect_size) >= 0.1"),
+ORACLES["k12_supported_set"] = ctes(BASE + AGGREGATE + [
+    ("su", "select version, label_a, label_b from g4 where pair_supported"),
     ("nd", f"select version, label, row_number() over (partition by version order by coalesce({_place}, 5), label) - 1 as i, count(*) over (partition by version) as n from (select distinct version, unnest([label_a, label_b]) as label from su)"),
     ("mk", "select version, n, unnest(range(1, cast(pow(2, n) as int))) as m from (select distinct version, n from nd)"),
     ("bad", """select distinct mk.version, mk.m from mk join nd a on a.version = mk.version join nd b on b.version = mk.version and a.i < b.i

@@ -97,6 +97,13 @@ def value_bins(df: DataFrame, groups: list[str], value: str, bins: int) -> tuple
     return joined.withColumn("_bin", _bin(bins)).drop("_knots"), extent
 
 
+def with_value_bin(df: DataFrame, groups: list[str], value: str, of: DataFrame, bins: int = 4096) -> DataFrame:
+    """Adds ``_bin``, non-decreasing in the value. Its borders come from the rows of ``of``; NULL groups are groups."""
+    extent = of.groupBy(*groups).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), _knots(value))
+    rows = null_safe_join(df.withColumn("_v", F.col(value)), extent, groups)
+    return rows.withColumn("_bin", _bin(bins)).drop("_v", "_lo", "_hi", "_knots")
+
+
 def exact_quantiles(
     df: DataFrame, groups: list[str], value: str, fractions: dict[str, float], bins: int = 4096
 ) -> DataFrame:

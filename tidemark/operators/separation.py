@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from tidemark import config as cfg
 from tidemark.functions import columns as fx
 from tidemark.functions import tails
-from tidemark.operators.compare import histogram_overlap, pooled_d
 from tidemark.operators.ordered import average_ranks, exact_quantiles
+from tidemark.operators.pairs import pair_statistics
 
 L = F.lit
 MEASURES = ("score", "Q", "A", "Gamma", "V")
@@ -72,13 +72,6 @@ def label_pairs(labels: DataFrame, keys: list[str]) -> DataFrame:
         "pair_key", F.concat_ws("__", "label_a", "label_b"))
 
 
-def pair_rows(long: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row once per pair its label belongs to, with side a or b."""
-    sides = pairs.select(*keys, "pair_key", "label_a", "label_b", F.inline(F.array(
-        F.struct(L("a").alias("side"), F.col("label_a").alias("label")), F.struct(L("b").alias("side"), F.col("label_b").alias("label")))))
-    return long.join(sides, [*keys, "label"])
-
-
 def rank_sum(rows: DataFrame, groups: list[str]) -> DataFrame:
     """Mann-Whitney U of side a against side b with the two-sided p-value."""
     ranks = average_ranks(rows, groups, ["side"], "x")
@@ -91,18 +84,9 @@ def rank_sum(rows: DataFrame, groups: list[str]) -> DataFrame:
     return agg.where((F.col("n_a") >= 2) & (F.col("n_b") >= 2)).select(*groups, "n_a", "n_b", "tie_term", u.alias("u"))
 
 
-def pair_statistics(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """Counts, means, difference (b - a), Cohen's d (b - a) and 60-bin overlap per pair and measure."""
-    side = lambda s: F.when(F.col("side") == s, F.col("x"))
-    agg = rows.groupBy(*groups).agg(*[
-        f(side(s)).alias(f"{n}_{s}") for s in "ab" for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))])
-    d = pooled_d(*[F.col(f"{n}_b") for n in ("n", "mean", "var")], *[F.col(f"{n}_a") for n in ("n", "mean", "var")])
-    overlap = histogram_overlap(rows, groups, F.col("side"), "x", cfg.PAIR_HISTOGRAM_BINS, constant=None)
-    return (
-        agg.where((F.col("n_a") >= 2) & (F.col("n_b") >= 2))
-        .select(*groups, "n_a", "n_b", "mean_a", "mean_b", (F.col("mean_b") - F.col("mean_a")).alias("mean_diff"), d.alias("effect_size"))
-        .join(overlap, groups, "left")
-    )
+def with_rank_sum_p(tests: DataFrame) -> DataFrame:
+    """Adds the two-sided p-value of U. Python sees the rows of the test table only."""
+    return tests.withColumn("p_value", tails.rank_sum_p("u", "n_a", "n_b", "tie_term"))
 
 
 def holm(tests: DataFrame, groups: list[str], p: str, tie: str) -> DataFrame:
@@ -153,16 +137,12 @@ def pair_table(rows: DataFrame, keys: list[str], measures=MEASURES, minimum: int
     """One row per (keys, measure, label pair) with tests, Holm correction and grade."""
     long = measure_rows(rows, keys, measures)
     long = long.join(usable_measures(long, keys, measures[0], minimum).drop("n_values"), [*keys, "measure"], "left_semi")
-    pairs = label_pairs(usable_labels(rows, keys, minimum), keys)
-    groups = [*keys, "measure", "pair_key", "label_a", "label_b"]
-    sided = pair_rows(long, pairs, keys)
-    stats = pair_statistics(sided, groups)
-    ranks = rank_sum(sided, groups)
-    tests = ranks.select(*groups, "u", tails.rank_sum_p("u", "n_a", "n_b", "tie_term").alias("p_value"))
-    df = holm(stats.join(tests, groups), [*keys, "measure"], "p_value", "pair_key")
+    labels = usable_labels(rows, keys, minimum)
+    tests = with_rank_sum_p(pair_statistics(long, labels, keys))
+    df = holm(tests, [*keys, "measure"], "p_value", "pair_key")
     df = df.withColumn("grade_score", grade(F.col("effect_size"), F.col("distribution_overlap"), F.col("p_value_holm")))
     df = df.withColumn("separation_grade", fx.by_key(F.col("grade_score"), GRADE_NAMES))
-    return df.join(centroid_distances(rows, pairs, keys, measures), [*keys, "pair_key"], "left")
+    return df.join(centroid_distances(rows, label_pairs(labels, keys), keys, measures), [*keys, "pair_key"], "left")
 
 
 def pair_aggregate(graded: DataFrame, keys: list[str], primary: str = "score") -> DataFrame:

@@ -33,49 +33,49 @@ def kruskal(spark, sf_dir):
     return finish(sp.epsilon_squared(sp.kruskal(sp.measure_rows(rows(spark, sf_dir), K), [*K, "measure"])))
 
 
-def _sided(spark, sf_dir):
-    r = rows(spark, sf_dir)
-    pairs = sp.label_pairs(sp.usable_labels(r, K), K)
-    return r, pairs, sp.pair_rows(sp.measure_rows(r, K), pairs, K)
+def _scored(spark, sf_dir):
+    """The scores once, read back by labels, measures and centroids."""
+    return stage(rows(spark, sf_dir).select(*K, "segment_id", "label", *sp.MEASURES), "scored")
+
+
+def _tests(spark, sf_dir):
+    r = _scored(spark, sf_dir)
+    return sp.pair_statistics(sp.measure_rows(r, K), sp.usable_labels(r, K), K)
 
 
 def rank_sum(spark, sf_dir):
-    """U statistic of every pair and measure."""
-    _, _, sided = _sided(spark, sf_dir)
-    return finish(sp.rank_sum(sided, [*K, "measure", "pair_key"]))
+    """U statistic and p-value of every pair and measure."""
+    df = sp.with_rank_sum_p(_tests(spark, sf_dir))
+    return finish(df.select(*K, "measure", "pair_key", "n_a", "n_b", "tie_term", "u", "p_value"))
 
 
 def pair_statistics(spark, sf_dir):
     """K05-K07."""
-    _, _, sided = _sided(spark, sf_dir)
-    return finish(sp.pair_statistics(sided, [*K, "measure", "pair_key"]))
+    shown = ("n_a", "n_b", "mean_a", "mean_b", "mean_diff", "effect_size", "distribution_overlap")
+    return finish(_tests(spark, sf_dir).select(*K, "measure", "pair_key", *shown))
 
 
 def holm(spark, sf_dir):
-    """K08, K09 on a p column derived from the overlap."""
-    _, _, sided = _sided(spark, sf_dir)
-    df = sp.pair_statistics(sided, [*K, "measure", "pair_key"])
-    df = df.withColumn("p", F.pow(F.col("distribution_overlap"), 40.0))
-    df = sp.holm(df, [*K, "measure"], "p", "pair_key")
-    return finish(df.select(*K, "measure", "pair_key", "p_holm", sp.grade(F.col("effect_size"), F.col("distribution_overlap"), F.col("p_holm")).alias("grade")))
+    """K08, K09 on the p-values of the rank-sum tests."""
+    df = sp.holm(sp.with_rank_sum_p(_tests(spark, sf_dir)), [*K, "measure"], "p_value", "pair_key")
+    graded = sp.grade(F.col("effect_size"), F.col("distribution_overlap"), F.col("p_value_holm"))
+    return finish(df.select(*K, "measure", "pair_key", "p_value_holm", graded.alias("grade")))
 
 
 def centroids(spark, sf_dir):
     """K10."""
-    r, pairs, _ = _sided(spark, sf_dir)
-    return finish(sp.centroid_distances(r, pairs, K))
+    r = rows(spark, sf_dir)
+    return finish(sp.centroid_distances(r, sp.label_pairs(sp.usable_labels(r, K), K), K))
 
 
 def pair_aggregate(spark, sf_dir):
     """Full pair table with p-values, aggregated per pair."""
-    return finish(sp.pair_aggregate(sp.pair_table(rows(spark, sf_dir), K), K))
+    return finish(sp.pair_aggregate(sp.pair_table(_scored(spark, sf_dir), K), K))
 
 
 def supported_set(spark, sf_dir):
-    """K12 on pairs supported by an effect-size rule."""
-    _, _, sided = _sided(spark, sf_dir)
-    stats = sp.pair_statistics(sided.where(F.col("measure") == "score"), [*K, "pair_key", "label_a", "label_b"])
-    return finish(sp.largest_supported_set(stats.withColumn("pair_supported", F.abs("effect_size") >= 0.1), K))
+    """K12 on the supported pairs of K11."""
+    return finish(sp.largest_supported_set(sp.pair_aggregate(sp.pair_table(_scored(spark, sf_dir), K), K), K))
 
 
 def _values(spark, sf_dir):

@@ -19,18 +19,21 @@ L = F.lit
 BLOCK = 16
 
 
-def value_counts(long: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows per (keys, measure, place of a usable label, x)."""
+def placed_values(long: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, place, label, x) of the usable labels, without NULL and NaN values."""
     placed = null_safe_join(long, labels.select(*keys, "label", "place"), [*keys, "label"])
-    return placed.where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy(*keys, "measure", "place", "x").agg(F.count(L(1)).alias("c"))
+    return placed.where(F.col("x").isNotNull() & ~F.isnan("x")).select(*keys, "measure", "place", "label", "x")
 
 
-def _pairs(values: DataFrame, groups: list[str]) -> DataFrame:
-    stats = values.groupBy(*groups, "place").agg(
-        F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("mean"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    a, b = (stats.select(*groups, *[F.col(c).alias(f"{c}_{s}") for c in ("place", "n", "mean", "lo", "hi")]) for s in "ab")
-    both = null_safe_join(a, b, groups).where("place_a < place_b and n_a >= 2 and n_b >= 2")
-    return both.withColumn("lo", F.least("lo_a", "lo_b")).withColumn("hi", F.greatest("hi_a", "hi_b")).drop("lo_a", "lo_b", "hi_a", "hi_b")
+def _pairs(placed: DataFrame, groups: list[str]) -> DataFrame:
+    """Pairs of labels with their moments and joint range: a few rows per group, whatever its size."""
+    shown = ("place", "label", "n", "mean", "var", "lo", "hi")
+    stats = placed.groupBy(*groups, "place", "label").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("var"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    packed = stats.where("n >= 2").groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct(*shown))).alias("_l"))
+    both = packed.select(*groups, "_l", F.explode("_l").alias("a")).select(*groups, "a", F.explode("_l").alias("b")).where("a.place < b.place")
+    sides = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in shown[:5]]
+    return both.select(*groups, *sides, F.least("a.lo", "b.lo").alias("lo"), F.greatest("a.hi", "b.hi").alias("hi"))
 
 
 def _borders(pairs: DataFrame, groups: list[str], bins: int) -> DataFrame:
@@ -86,19 +89,21 @@ def _overlap(bins: int) -> Column:
     return F.when(F.col("lo") < F.col("hi"), total)
 
 
-def pair_statistics(long: DataFrame, labels: DataFrame, keys: list[str], bins: int = cfg.PAIR_HISTOGRAM_BINS) -> DataFrame:
+def pair_statistics(long: DataFrame, labels: DataFrame, keys: list[str], bins: int = cfg.PAIR_HISTOGRAM_BINS, staging=None) -> DataFrame:
     """One row per (keys, measure, pair of usable labels) that has two values or more on both sides.
 
     ``long`` holds (keys, label, measure, x), ``labels`` the usable labels with their place. Returns counts, means, their
     difference (b - a), Cohen's d (b - a), the overlap of histograms, U of the first label and the tie term. NULL keys are
-    keys; NULL and NaN values take no part; an empty table gives no rows. One number, the most labels of a key, is read
+    keys; NULL and NaN values take no part; an empty table gives no rows. ``staging`` writes the counted values to a table that
+    every pass reads; without it a pass counts them again. One number, the most labels of a key, is read
     by the driver: it sets the number of passes.
     """
     groups = [*keys, "measure"]
-    values = value_counts(long, labels, keys)
-    pairs = _pairs(values, groups)
-    rows = values.unionByName(_borders(pairs, groups, bins), allowMissingColumns=True)
-    rows = with_value_bin(rows, groups, "x", values)
+    placed = placed_values(long, labels, keys)
+    pairs = _pairs(placed, groups)
+    values = placed.groupBy(*groups, "place", "x").agg(F.count(L(1)).alias("c"))
+    rows = with_value_bin(values.unionByName(_borders(pairs, groups, bins), allowMissingColumns=True), groups, "x", placed)
+    rows = staging(rows, "values") if staging else rows
     most = labels.agg(F.max("place")).first()[0] or 1
     passes = [_pass(rows, groups, range(s, min(s + BLOCK, most + 1))) for s in range(1, most + 1, BLOCK)]
     parts = passes[0]
@@ -108,13 +113,7 @@ def pair_statistics(long: DataFrame, labels: DataFrame, keys: list[str], bins: i
     parts = parts.groupBy(*at, "border").agg(*[F.sum(c).alias(c) for c in ("u", "ties", "f_a", "f_b")])
     mark = F.when(F.col("border").isNotNull(), F.struct("border", "f_a", "f_b"))
     folded = parts.groupBy(*at).agg(F.sum("u").alias("u"), F.sum("ties").alias("tie_term"), F.array_sort(F.collect_list(mark)).alias("marks"))
-    spread = null_safe_join(values, values.groupBy(*groups, "place").agg((F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("_m")), [*groups, "place"])
-    gap = F.col("x") - F.col("_m")
-    spread = spread.groupBy(*groups, "place").agg(F.try_divide(F.sum(F.col("c") * gap * gap), F.sum("c") - L(1)).alias("var"))
     df = null_safe_join(pairs, folded, at)
-    for s in "ab":
-        df = null_safe_join(df, spread.select(*groups, F.col("place").alias(f"place_{s}"), F.col("var").alias(f"var_{s}")), [*groups, f"place_{s}"])
-        df = null_safe_join(df, labels.select(*keys, F.col("place").alias(f"place_{s}"), F.col("label").alias(f"label_{s}")), [*keys, f"place_{s}"])
     d = pooled_d(*[F.col(f"{n}_b") for n in ("n", "mean", "var")], *[F.col(f"{n}_a") for n in ("n", "mean", "var")])
     return df.select(
         *groups, F.concat_ws("__", "label_a", "label_b").alias("pair_key"), "label_a", "label_b", "n_a", "n_b", "mean_a", "mean_b",

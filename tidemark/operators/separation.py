@@ -133,12 +133,12 @@ def centroid_distances(rows: DataFrame, pairs: DataFrame, keys: list[str], measu
     return joined.groupBy(*keys, "pair_key").agg(F.sqrt(F.sum(gap * gap)).alias("centroid_distance"))
 
 
-def pair_table(rows: DataFrame, keys: list[str], measures=MEASURES, minimum: int = MIN_CLASS) -> DataFrame:
+def pair_table(rows: DataFrame, keys: list[str], measures=MEASURES, minimum: int = MIN_CLASS, staging=None) -> DataFrame:
     """One row per (keys, measure, label pair) with tests, Holm correction and grade."""
     long = measure_rows(rows, keys, measures)
     long = long.join(usable_measures(long, keys, measures[0], minimum).drop("n_values"), [*keys, "measure"], "left_semi")
     labels = usable_labels(rows, keys, minimum)
-    tests = with_rank_sum_p(pair_statistics(long, labels, keys))
+    tests = with_rank_sum_p(pair_statistics(long, labels, keys, staging=staging))
     df = holm(tests, [*keys, "measure"], "p_value", "pair_key")
     df = df.withColumn("grade_score", grade(F.col("effect_size"), F.col("distribution_overlap"), F.col("p_value_holm")))
     df = df.withColumn("separation_grade", fx.by_key(F.col("grade_score"), GRADE_NAMES))

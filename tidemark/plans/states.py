@@ -40,7 +40,7 @@ def _scored(spark, sf_dir):
 
 def _tests(spark, sf_dir):
     r = _scored(spark, sf_dir)
-    return sp.pair_statistics(sp.measure_rows(r, K), sp.usable_labels(r, K), K)
+    return sp.pair_statistics(sp.measure_rows(r, K), sp.usable_labels(r, K), K, staging=stage)
 
 
 def rank_sum(spark, sf_dir):
@@ -70,12 +70,12 @@ def centroids(spark, sf_dir):
 
 def pair_aggregate(spark, sf_dir):
     """Full pair table with p-values, aggregated per pair."""
-    return finish(sp.pair_aggregate(sp.pair_table(_scored(spark, sf_dir), K), K))
+    return finish(sp.pair_aggregate(sp.pair_table(_scored(spark, sf_dir), K, staging=stage), K))
 
 
 def supported_set(spark, sf_dir):
     """K12 on the supported pairs of K11."""
-    return finish(sp.largest_supported_set(sp.pair_aggregate(sp.pair_table(_scored(spark, sf_dir), K), K), K))
+    return finish(sp.largest_supported_set(sp.pair_aggregate(sp.pair_table(_scored(spark, sf_dir), K, staging=stage), K), K))
 
 
 def _values(spark, sf_dir):

@@ -59,8 +59,8 @@ ORACLES["s13_interval_windows"] = ctes([V("fx_trials"), V("fx_aux"),
     group by trial_id, window_index, ws having count(*) >= 2""")
 _names = "[" + ", ".join(f"'{n}'" for n in cfg.TARGET_NAMES) + "]"
 EV = [V("fx_trials"), ("ev", "select recording_id, trial_id, onset, duration, cast(trial_type as bigint) as tt from fx_trials where cast(trial_type as int) between 1 and 9")]
-ORACLES["s15_s16_target_events"] = ctes(EV + [("x", "select *, greatest(cast(round_even(onset * 0.5e0, 0) as bigint), 0) as start, least(cast(round_even((onset + duration) * 0.5e0, 0) as bigint), 1290000) as en from ev")],
-    f"""select recording_id, trial_id, tt as trial_type, start, en as "end", {rx('[1.5e0, 4.5e0, 7.5e0][(tt - 1) % 3 + 1]', 'target_valence')}, {rx('[1.5e0, 4.5e0, 7.5e0][(tt - 1) // 3 + 1]', 'target_arousal')},
+ORACLES["s15_s16_target_events"] = ctes(EV + [("x", "select *, row_number() over (partition by recording_id order by onset, tt, trial_id) - 1 as trial_index, greatest(cast(round_even(onset * 0.5e0, 0) as bigint), 0) as start, least(cast(round_even((onset + duration) * 0.5e0, 0) as bigint), 1290000) as en from ev")],
+    f"""select recording_id, trial_id, trial_index, tt as trial_type, start, en as "end", {rx('[1.5e0, 4.5e0, 7.5e0][(tt - 1) % 3 + 1]', 'target_valence')}, {rx('[1.5e0, 4.5e0, 7.5e0][(tt - 1) // 3 + 1]', 'target_arousal')},
     {_names}[tt] as target from x where en - start >= 256""")
 ORACLES["s17_s18_event_means"] = ctes(EV + [V("fx_aux"), ("m", "select trial_id, avg(v) * 1e6 as aux from ev join fx_aux p on p.recording_id = ev.recording_id and t >= onset and t < onset + duration group by all")],
     f"select trial_id, {rx('coalesce(aux, [1.5e0, 4.5e0, 7.5e0][(tt - 1) % 3 + 1])', 'valence')}, aux is not null as measured from ev left join m using (trial_id)")
@@ -114,6 +114,13 @@ SPEC = REC + [("fr", "select segment_id, channel, frame, unnest(range(0, 256)) a
     ("bp", trapz("segment_id, channel", cfg.EEG_BANDS)),
     ("cp", "select r.segment_id, r.channel, case when right(r.channel, 1) in ('3', '7') then 'left' else 'right' end as side, \"full\", alpha, gamma from rec r left join bp using (segment_id, channel)")]
 ORACLES["f01_f02_band_power"] = ctes(SPEC, f"select segment_id, channel, side, {rx(chr(34) + 'full' + chr(34) + ' * 1e3', 'full')}, {rx('alpha * 1e3', 'alpha')}, {rx('gamma * 1e3', 'gamma')} from cp".replace("as full", 'as "full"'))
+ORACLES["f03_default_channels"] = ctes(SPEC + [
+    ("p0", """select segment_id, "full", list_position(['AF3', 'F7', 'AF4', 'F8'], channel) - 1 as position, cast(substr(segment_id, 2) as bigint) as s, channel as given from cp"""),
+    ("p1", "select *, case when s % 2 = 0 and position = 2 then null else given end as kept, case when s % 5 = 0 then 'unlisted' else 'dreamer' end as dataset from p0"),
+    ("p2", """select *, case when count(kept) over (partition by segment_id) = count(*) over (partition by segment_id) then kept
+        when dataset = 'unlisted' then 'EEG_' || (position + 1) else ['AF3', 'F7', 'F3', 'FC5'][position + 1] end as channel from p1""")],
+    f"""select segment_id, dataset, cast(position as bigint) as position, channel, case when dataset = 'unlisted' then 'mid' when right(channel, 1) in ('3', '5', '7') then 'left' else 'right' end as side,
+    {rx('"full" * 1e3', 'full').replace('as full', 'as "full"')} from p2""")
 _side = lambda s, b: f"avg({b}) filter (side = '{s}')"
 ORACLES["f03_f06_eeg_features"] = ctes(SPEC + [
     ("e0", f"""select segment_id, {_side('left', '"full"')} as l, {_side('right', '"full"')} as rr, avg(gamma) as g, {_side('left', 'alpha')} as al, {_side('right', 'alpha')} as ar,

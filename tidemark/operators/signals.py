@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,15 +172,37 @@ def rr_spectrum(rr: pd.Series) -> pd.Series:
 
 # --- feature tables ---------------------------------------------------------------------------
 
+def with_channel_names(powers: DataFrame) -> DataFrame:
+    """Channel names of each (segment_id, dataset), whose rows are its channels by 0-based ``position``.
+
+    Names count only if every channel has one. Else the montage of the dataset names them by position, and where it has
+    fewer names than there are channels, or there is none, they are EEG_1, EEG_2 and so on.
+    """
+    segment = Window.partitionBy("segment_id", "dataset")  # a row per channel, samples are gone by now
+    montages: dict[str, list[str]] = {}
+    for dataset, channel, _, _ in cfg.channel_rows():
+        montages.setdefault(dataset, []).append(channel)
+    known = F.create_map(*[x for d, names in montages.items() for x in (L(d), F.array(*[L(n) for n in names]))])
+    montage, n = F.try_element_at(known, F.lower("dataset")), F.count(L(1)).over(segment)
+    default = F.when(F.size(montage) >= n, F.get(montage, F.col("position").cast("int"))).otherwise(
+        F.concat(L("EEG_"), (F.col("position") + L(1)).cast("string")))
+    return powers.withColumn("channel", F.when(F.count("channel").over(segment) == n, F.col("channel")).otherwise(default))
+
+
 def channel_powers(signals: DataFrame) -> DataFrame:
     """Band powers per segment and channel with the hemisphere that the dataset's montage gives the channel.
 
-    A channel that the montage lacks, and every channel of a dataset without one, is on no side ("mid").
+    A channel that the montage lacks, and every channel of a dataset without one, is on no side ("mid"). Where the signals
+    carry a ``position``, missing names are given by it.
     """
-    df = signals.withColumn("_p", band_powers("samples", "fs"))
+    at = [c for c in ("position",) if c in signals.columns]
+    powers = F.col("_p")
+    df = signals.withColumn("_p", band_powers("samples", "fs")).select(
+        "segment_id", "dataset", *at, "channel", *[powers[i].alias(b) for i, b in enumerate(("full", "alpha", "gamma"))])
+    df = with_channel_names(df) if at else df
     sides = F.create_map(*[L(x) for dataset, channel, _, s in cfg.channel_rows() for x in (f"{dataset}/{channel}", s)])
     side = F.coalesce(F.try_element_at(sides, F.concat_ws("/", F.lower("dataset"), "channel")), L("mid"))
-    return df.select("segment_id", "dataset", "channel", side.alias("side"), *[F.col("_p")[i].alias(b) for i, b in enumerate(("full", "alpha", "gamma"))])
+    return df.select("segment_id", "dataset", *at, "channel", side.alias("side"), "full", "alpha", "gamma")
 
 
 def eeg_features(powers: DataFrame) -> DataFrame:

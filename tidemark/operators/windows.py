@@ -27,6 +27,14 @@ def segment_bounds(df: DataFrame, n: Column, fs: Column, window_s: Column, step_
     return df.withColumns({"start_s": F.col("start") / F.col("_fs"), "end_s": F.col("end") / F.col("_fs")}).drop("_n", "_fs", "_w", "_s")
 
 
+def default_windows(dataset: Column, dynamic: bool = False) -> tuple[Column, Column]:
+    """Window length and step in seconds of a dataset, NULL for one without defaults."""
+    table = cfg.DYNAMIC_WINDOWS if dynamic else cfg.STATIC_WINDOWS
+    known = F.create_map(*[x for d, (length, step) in table.items() for x in (L(d), F.struct(L(length).alias("length"), L(step).alias("step")))])
+    found = F.try_element_at(known, F.lower(dataset))
+    return found["length"], found["step"]
+
+
 def slice_signal(samples: Column, start: Column, end: Column) -> Column:
     """Samples start..end-1 of an array (0-based, end exclusive)."""
     return F.slice(samples, (start + L(1)).cast("int"), (end - start).cast("int"))
@@ -173,11 +181,18 @@ def enough_samples(windows: DataFrame, samples: DataFrame, keys: list[str], t: s
 
 # --- trial events -----------------------------------------------------------------------------
 
-def target_events(events: DataFrame) -> DataFrame:
-    """Numeric cast; trial types 1..9 with onset and duration."""
+def target_events(events: DataFrame, keys: list[str] | None = None, tie: tuple[str, ...] = (), bucket: float = 600.0) -> DataFrame:
+    """Numeric cast; trial types 1..9 with onset and duration.
+
+    With ``keys`` adds ``trial_index``, the 0-based place of a trial in its recording by (onset, type, ``tie``). ``bucket``
+    (seconds of onset) cuts a long recording, so that no task orders all of it.
+    """
     df = events.withColumns({n: F.col(n).try_cast("double") for n in ("onset", "duration")} | {"trial_type": F.col("trial_type").try_cast("double")})
     kept = df.where(F.col("trial_type").between(1, 9) & F.col("onset").isNotNull() & F.col("duration").isNotNull())
-    return kept.withColumn("trial_type", F.col("trial_type").cast("int"))
+    kept = kept.withColumn("trial_type", F.col("trial_type").cast("int"))
+    if keys is None:
+        return kept
+    return with_position(kept, keys, ["onset", "trial_type", *tie], F.floor(F.col("onset") / L(bucket)), "trial_index")
 
 
 def event_sample_range(events: DataFrame, fs: Column, n: Column, minimum: int = cfg.MIN_SIGNAL_SAMPLES) -> DataFrame:

@@ -132,10 +132,10 @@ def interval_windows(spark, sf_dir):
 
 def target_events(spark, sf_dir):
     """Numeric trials, sample ranges, target centroids."""
-    df = wd.target_events(fixture(spark, sf_dir, "fx_trials"))
+    df = wd.target_events(fixture(spark, sf_dir, "fx_trials"), ["recording_id"], ("trial_id",))
     df = wd.event_sample_range(df, L(0.5), L(1290000))
     v, a, name = wd.target_centroid(F.col("trial_type"))
-    return finish(df.select("recording_id", "trial_id", "trial_type", "start", "end", v.alias("target_valence"), a.alias("target_arousal"), name.alias("target")))
+    return finish(df.select("recording_id", "trial_id", "trial_index", "trial_type", "start", "end", v.alias("target_valence"), a.alias("target_arousal"), name.alias("target")))
 
 
 def event_means(spark, sf_dir):
@@ -270,6 +270,15 @@ def eeg_features(spark, sf_dir):
     return finish(df.select("segment_id", *[(F.col(n) * (1e3 if n != "alpha_asymmetry" else 1.0)).alias(n) for n in cfg.EEG_FEATURES], "prov_eeg_gamma_power", "source_eeg_gamma_power"))
 
 
+def default_channels(spark, sf_dir):
+    """names by position where the third channel of a segment has none, with and without a montage."""
+    n, at = F.substring("segment_id", 2, 20).cast("long"), F.array_position(F.array(*[L(c) for c in ("AF3", "F7", "AF4", "F8")]), F.col("channel")) - L(1)
+    df = recordings(spark, sf_dir).withColumn("position", at).withColumns({
+        "channel": F.when((n % 2 == 0) & (F.col("position") == 2), L(None)).otherwise(F.col("channel")),
+        "dataset": F.when(n % 5 == 0, "unlisted").otherwise(F.col("dataset"))})
+    return finish(sg.channel_powers(df).select("segment_id", "dataset", "position", "channel", "side", (F.col("full") * 1e3).alias("full")))
+
+
 def _beats(spark, sf_dir):
     b = fixture(spark, sf_dir, "fx_beats").where(F.col("rr").between(*cfg.RR_LIMITS))
     packed = F.array_sort(F.collect_list(F.struct("beat", "rr")))  # at most 64 beats per segment
@@ -312,6 +321,6 @@ QUERIES = {
     "s11_stimulus_order": stimulus_order, "s12_s14_stimulus_offsets": stimulus_offsets, "s13_interval_windows": interval_windows,
     "s15_s16_target_events": target_events, "s17_s18_event_means": event_means, "s19_path_ids": path_ids, "s20_self_report_lookup": self_report_lookup,
     "s22_text_labels": text_labels, "s23_epochs": epochs, "s24_fallback_signal": fallback, "s25_s26_expand_segments": expanded, "s25_s07_cut_signals": cut_signals, "s06_trial_signals": trial_signals, "s27_quarantine": quarantine,
-    "s28_discover_runs": runs, "s29_sinks": sinks, "f01_f02_band_power": band_powers, "f03_f06_eeg_features": eeg_features, "f09_f13_rr_features": rr_features,
+    "s28_discover_runs": runs, "s29_sinks": sinks, "f01_f02_band_power": band_powers, "f03_f06_eeg_features": eeg_features, "f03_default_channels": default_channels, "f09_f13_rr_features": rr_features,
     "f14_f15_source_preference": source_preference, "f16_provenance_counts": provenance_counts, "f07_f08_f18_heart_features": heart_signals,
 }

@@ -87,6 +87,13 @@ ORACLES["s25_s26_expand_segments"] = ctes([fx_cte(),
     {rx('coalesce(b, ws)', 'window_start_sec')}, {rx('case when k is null then we else s end', 'window_end_sec')}, {rx('case when k is null then sd else s - b end', 'segment_duration_sec')},
     k * 512 as from_sample, (k * 4 + 8) * 128 as to_sample from f""")
 ORACLES["s27_quarantine"] = ctes([fx_cte()], "select case when heart_rate is not null and eeg_left_power is not null then 'valid' else 'quarantine' end as part, count(*) as n from fx group by all")
+_defaults = ", ".join(f"('{d}', '{regime}', {num(w)}, {num(st)})" for regime, table in (("static", cfg.STATIC_WINDOWS), ("dynamic", cfg.DYNAMIC_WINDOWS)) for d, (w, st) in table.items())
+ORACLES["s30_default_windows"] = ctes([fx_cte(),
+    ("wd", f"select * from (values {_defaults}) as t(dataset, regime, w, st)"),
+    ("cu", """select fx.segment_id, fx.dataset, regime, cast(w * 128 as bigint) as w, cast(st * 128 as bigint) as st, (cast(fx.segment_id as bigint) % 120 + 1) * 128 as n
+        from fx join wd on wd.dataset = lower(fx.dataset)"""),
+    ("ct", "select *, (n - w) // st as k from cu where n >= w")],
+    "select dataset, regime, cast(sum(k + 1) as bigint) as windows, count(distinct segment_id) as segments, max(k * st + w) as last_sample from ct group by all")
 ORACLES["s28_discover_runs"] = "select distinct event_type as dataset, case event_id % 3 when 0 then 'strict' else 'proxy' end as mode from events where event_id % 3 < 2"
 ORACLES["s29_sinks"] = ctes([fx_cte()], "select 'parquet' as sink, count(*) as rows from fx union all select 'csv', count(*) from fx union all select 'json', count(distinct dataset) from fx")
 

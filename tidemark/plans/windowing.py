@@ -235,6 +235,17 @@ def expanded(spark, sf_dir):
                             wd.half_even(F.col("local_start_sec") * 128).alias("from_sample"), wd.half_even(F.col("local_end_sec") * 128).alias("to_sample")))
 
 
+def default_windows(spark, sf_dir):
+    """Every segment, taken as up to two minutes at 128 Hz, cut by the defaults of its dataset."""
+    df = features(spark, sf_dir).select("segment_id", "dataset", ((F.col("segment_id").cast("long") % 120 + 1) * 128).alias("n"))
+    parts = []
+    for name, dynamic in (("static", False), ("dynamic", True)):
+        cut = wd.segment_bounds(df, F.col("n"), L(128.0), *wd.default_windows(F.col("dataset"), dynamic))
+        parts.append(cut.groupBy("dataset").agg(F.count(L(1)).alias("windows"), F.countDistinct("segment_id").alias("segments"), F.max("end").alias("last_sample"))
+                     .withColumn("regime", L(name)))
+    return finish(parts[0].unionByName(parts[1]))
+
+
 def quarantine(spark, sf_dir):
     """Rows without a usable signal go to the quarantine."""
     df = features(spark, sf_dir)
@@ -320,7 +331,7 @@ QUERIES = {
     "s06_trial_windows": trial_windows, "s07_dual_rate": dual_rate, "s08_mean_lead": mean_lead, "s09_s10_units": physical_units,
     "s11_stimulus_order": stimulus_order, "s12_s14_stimulus_offsets": stimulus_offsets, "s13_interval_windows": interval_windows,
     "s15_s16_target_events": target_events, "s17_s18_event_means": event_means, "s19_path_ids": path_ids, "s20_self_report_lookup": self_report_lookup,
-    "s22_text_labels": text_labels, "s23_epochs": epochs, "s24_fallback_signal": fallback, "s25_s26_expand_segments": expanded, "s25_s07_cut_signals": cut_signals, "s06_trial_signals": trial_signals, "s27_quarantine": quarantine,
+    "s22_text_labels": text_labels, "s23_epochs": epochs, "s24_fallback_signal": fallback, "s25_s26_expand_segments": expanded, "s25_s07_cut_signals": cut_signals, "s06_trial_signals": trial_signals, "s27_quarantine": quarantine, "s30_default_windows": default_windows,
     "s28_discover_runs": runs, "s29_sinks": sinks, "f01_f02_band_power": band_powers, "f03_f06_eeg_features": eeg_features, "f03_default_channels": default_channels, "f09_f13_rr_features": rr_features,
     "f14_f15_source_preference": source_preference, "f16_provenance_counts": provenance_counts, "f07_f08_f18_heart_features": heart_signals,
 }

@@ -134,15 +134,20 @@ def centroid_distances(rows: DataFrame, pairs: DataFrame, keys: list[str], measu
 
 
 def pair_table(rows: DataFrame, keys: list[str], measures=MEASURES, minimum: int = MIN_CLASS, staging=None) -> DataFrame:
-    """One row per (keys, measure, label pair) with tests, Holm correction and grade."""
+    """One row per (keys, measure, label pair) with tests, Holm correction and grade.
+
+    ``staging`` writes the counted values, the tests and the centroid distances to tables, which keeps each plan short.
+    """
     long = measure_rows(rows, keys, measures)
     long = long.join(usable_measures(long, keys, measures[0], minimum).drop("n_values"), [*keys, "measure"], "left_semi")
     labels = usable_labels(rows, keys, minimum)
-    tests = with_rank_sum_p(pair_statistics(long, labels, keys, staging=staging))
+    keep = staging or (lambda df, name: df)
+    tests = keep(with_rank_sum_p(pair_statistics(long, labels, keys, staging=staging)), "tests")
+    centroids = keep(centroid_distances(rows, label_pairs(labels, keys), keys, measures), "centroids")
     df = holm(tests, [*keys, "measure"], "p_value", "pair_key")
     df = df.withColumn("grade_score", grade(F.col("effect_size"), F.col("distribution_overlap"), F.col("p_value_holm")))
     df = df.withColumn("separation_grade", fx.by_key(F.col("grade_score"), GRADE_NAMES))
-    return df.join(centroid_distances(rows, label_pairs(labels, keys), keys, measures), [*keys, "pair_key"], "left")
+    return df.join(centroids, [*keys, "pair_key"], "left")
 
 
 def pair_aggregate(graded: DataFrame, keys: list[str], primary: str = "score") -> DataFrame:

@@ -144,3 +144,15 @@ def test_scatter_sample_is_the_same_for_any_partitioning(spark):
         assert sorted((tuple(r) for r in sample.collect()), key=str) == want
     assert "WindowGroupLimit" in sample._jdf.queryExecution().executedPlan().toString()
     assert cp.scatter_sample(df.where("false"), ["g"]).count() == 0
+
+
+def test_rough_borders_are_read_and_not_made_again(spark):
+    """Counts of bins and the rows in them must meet: borders that each makes for itself depend on the order of rows."""
+    from tidemark.operators.ordered import average_ranks, exact_quantiles, with_value_bin
+
+    df = spark.range(0, 5000, 1, 5).select((F.col("id") % 2).alias("g"), (F.col("id") % 7).alias("label"), (F.xxhash64("id") / 1e15).alias("x"))
+    made = [
+        average_ranks(df, ["g"], ["label"], "x"), exact_quantiles(df, ["g"], "x", {"mid": 0.5}), exact_quantiles(df, [], "x", {"mid": 0.5}), with_value_bin(df, ["g"], "x", df)]
+    for out in made:
+        assert "percentile_approx" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert made[0].agg(F.sum("c"), F.min("rank"), F.max("rank")).first()[:] == (5000, 1.0, 2500.0)

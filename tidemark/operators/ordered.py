@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.staging import stage
+
 
 def with_single_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Attaches the columns of a one-row aggregate to every row (an ungrouped agg has one row)."""
@@ -72,10 +74,18 @@ ZONES = len(KNOTS) + 1
 
 
 def _knots(value: str) -> Column:
-    """Rough quantiles of a group: the borders of its zones. They only balance the bins; no result depends on them."""
+    """Rough quantiles of a group: the borders of its zones. They only balance the bins; no result depends on them.
+
+    They do depend on the order in which rows arrive, so a plan that reads them twice must read the same ones (``_extent``).
+    """
     return F.percentile_approx(value, list(KNOTS), 10_000).alias("_knots")
 
 
+def _extent(rows: DataFrame, groups: list[str], *aggs: Column) -> DataFrame:
+    """One row per group, staged: counts of bins and the rows in them would not meet if each made its own borders."""
+    return stage(rows.groupBy(*groups).agg(*aggs), "extent")
+
+
 def _bin(bins: int) -> Column:
     """Non-decreasing bin of _v: its zone between rough quantiles, and an equal-width cell within the zone.
 
@@ -92,14 +102,14 @@ def _bin(bins: int) -> Column:
 def value_bins(df: DataFrame, groups: list[str], value: str, bins: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their bin, and per group the extremes, zone borders and counts. NULL groups are groups."""
     rows = df.select(*groups, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    extent = rows.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"), _knots("_v"))
+    extent = _extent(rows, groups, F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"), _knots("_v"))
     joined = null_safe_join(rows, extent, groups)
     return joined.withColumn("_bin", _bin(bins)).drop("_knots"), extent
 
 
 def with_value_bin(df: DataFrame, groups: list[str], value: str, of: DataFrame, bins: int = 4096) -> DataFrame:
     """Adds ``_bin``, non-decreasing in the value. Its borders come from the rows of ``of``; NULL groups are groups."""
-    extent = of.groupBy(*groups).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), _knots(value))
+    extent = _extent(of, groups, F.min(value).alias("_lo"), F.max(value).alias("_hi"), _knots(value))
     rows = null_safe_join(df.withColumn("_v", F.col(value)), extent, groups)
     return rows.withColumn("_bin", _bin(bins)).drop("_v", "_lo", "_hi", "_knots")
 
@@ -162,7 +172,7 @@ def average_ranks(df: DataFrame, groups: list[str], members: list[str], value: s
         df.select(*groups, *members, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
         .groupBy(*groups, *members, "_v").agg(F.count(F.lit(1)).alias("c"))
     )
-    extent = pooled.groupBy(*groups).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("c").alias("n"), _knots("_v"))
+    extent = _extent(pooled, groups, F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("c").alias("n"), _knots("_v"))
     joined = null_safe_join(pooled, extent, groups).withColumn("_bin", _bin(bins)).drop("_knots")
     counts = joined.groupBy(*groups, "_bin").agg(F.sum("c").alias("_k"))
     before = F.sum("_k").over(Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))

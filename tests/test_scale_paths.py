@@ -156,3 +156,23 @@ def test_rough_borders_are_read_and_not_made_again(spark):
     for out in made:
         assert "percentile_approx" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert made[0].agg(F.sum("c"), F.min("rank"), F.max("rank")).first()[:] == (5000, 1.0, 2500.0)
+
+
+def test_a_score_that_stays_is_no_recovery():
+    rng = random.Random(5)
+    for _ in range(2000):
+        s, weight = rng.random(), rng.choice([0.1, 0.3, 0.7])
+        fast = dy.ewma_step(s, s, dy.D["fast_alpha"])
+        core = dy.D["blend"] * fast + (1.0 - dy.D["blend"]) * s
+        assert dy.asymmetric_step(s, s, core, weight, 0.5, 0.2)[1] == "response"
+    assert dy.asymmetric_step(0.5, 0.5 + 1e-9, 0.5 + 1e-9, 0.1, 0.5, 0.2)[1] == "recovery"
+
+
+def test_one_decimal_is_printf(spark):
+    from tidemark.operators.crossrun import one_decimal
+
+    rng = random.Random(7)
+    values = [0.25, 0.75, 0.15, 0.05, 0.35, 12.25, 12.95, 98237.45, 0.0, -0.0, -0.04, -3.25, 9.95, 9.951, 1e14 + 0.25, 3e15]
+    values += [rng.randrange(10**8) / 100 for _ in range(3000)] + [rng.random() * 10 ** rng.randrange(-3, 9) for _ in range(1000)]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", one_decimal(F.col("x")).alias("t")).collect()
+    assert [(r.x, r.t) for r in rows if r.t != f"{r.x:.1f}"] == []

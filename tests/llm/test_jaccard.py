@@ -102,3 +102,25 @@ def test_large_group_of_near_copies(spark):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     assert simhash.near_groups(df).select("root").distinct().count() == 1
+
+
+def test_texts_of_a_bucket_are_sent_once_a_round(spark):
+    """3,000 texts of one bucket against 1,000 first ones: one list, so that rows do not grow with the group's square."""
+    members = spark.range(3000).select(F.lit(1).alias("key"), F.col("id").alias("text_hash"), F.col("id").alias("root"), F.lit(150).alias("n"))
+    first = members.where("text_hash < 1000").withColumn("no", F.col("text_hash"))
+    cells = jaccard._cells(members, first).first()
+    assert (cells.lists, cells.chunks) == (1, 3)
+    long = jaccard._cells(members.withColumn("n", F.lit(1 << 18)), first).first()
+    assert long.chunk == 4 and long.chunks == 750 and long.lists == 250
+
+
+def test_far_texts_of_one_bucket(spark):
+    """Texts that share a line and little else, with a near pair among them, in more than one round."""
+    rng = random.Random(8)
+    line = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(line + [f"e{rng.randrange(10**9)}" for _ in range(35)])) for i in range(150)]
+    rows += [(1000, rows[70][1] + " more"), (1001, rows[5][1] + " of it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = simhash.near_groups(df).groupBy("root").agg(F.collect_list("doc_id").alias("ids")).collect()
+    want = plain_groups(rows)
+    assert sorted(sorted(r.ids) for r in got) == sorted([r[0] for r, w in zip(rows, want) if w == g] for g in set(want))

@@ -28,8 +28,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, LEAD = 24, 4, 4
 #: Texts of a bucket that are compared with all others in the first round.
 FIRST = 16
-#: A cell has about this many texts, and fewer if their shingles would be more than that.
-CELL_TEXTS, CELL_SHINGLES = 64, 1 << 20
+#: A cell has about this many texts on either side, and fewer if their shingles would be more than that. The more a cell
+#: has, the less often a text of a large bucket is sent: with all first texts in one list, once a round.
+CELL_TEXTS, CELL_SHINGLES = 1024, 1 << 20
+#: What a text is in a cell: one of all texts, a first text, or both.
+OTHER, FIRST_TEXT, BOTH = range(3)
 
 _IS_WORD = np.array([c not in b" \t\n\r\v\f" for c in range(256)])
 _FACTORS = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 7) | np.uint64(1)
@@ -79,15 +82,15 @@ def _cell_links(similarity: float):
     """Links that join the groups of a cell: every first text against every text, except where they are joined already."""
 
     def run(cell: pa.Table) -> pa.Table:
-        first = np.asarray(cell.column("first"))
+        side = np.asarray(cell.column("side"))
         root = np.asarray(cell.column("root")).copy()
         sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in cell.column("grams")]
-        others = np.flatnonzero(~first)
+        others = np.flatnonzero(side != FIRST_TEXT)
         sizes = np.array([len(sets[i]) for i in others], np.int64)
         every = np.concatenate([np.zeros(0, np.uint64), *[sets[i] for i in others]])
         owner = np.repeat(np.arange(len(others)), sizes)
         links = []
-        for i in np.flatnonzero(first):
+        for i in np.flatnonzero(side != OTHER):
             own = sets[i]
             at = np.minimum(np.searchsorted(own, every), len(own) - 1)
             both = np.bincount(owner[own[at] == every], minlength=len(others))
@@ -118,17 +121,34 @@ def _live(members: DataFrame) -> DataFrame:
     return members.join(split, "key", "left_semi")
 
 
-def _round_links(scratch: Scratch, members: DataFrame, grams: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
-    """Links of all comparisons of the ``first`` texts of each bucket (key, text_hash, root, no) with its ``members``."""
+def _cells(members: DataFrame, first: DataFrame) -> DataFrame:
+    """key, chunk (texts of either side in a cell), chunks of all texts, lists of first texts of each bucket."""
     chunk = F.greatest(F.lit(1), F.least(F.lit(CELL_TEXTS), F.floor(F.lit(CELL_SHINGLES) / F.max("n")).cast("int")))
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"), F.least(F.lit(FIRST), chunk).alias("chunk"))
-    cells = sizes.join(first.groupBy("key").agg(F.max("no").alias("last")), "key").withColumn("lists", F.floor(F.col("last") / F.col("chunk")).cast("int") + 1)
-    cells = scratch.table(cells.select("key", "chunks", "chunk", "lists"), "cells")
-    fields = ["key", "chunk_no", "list_no", "root", "grams"]
-    every = F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list_no")
-    theirs = members.join(cells, "key").select("key", "text_hash", "root", F.pmod(F.xxhash64("text_hash", F.lit(1)), F.col("chunks")).cast("int").alias("chunk_no"), every).join(grams.drop("n"), "text_hash").select(*fields, F.lit(False).alias("first"))
-    ours = first.join(grams.drop("n"), "text_hash").join(cells, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk_no"), F.floor(F.col("no") / F.col("chunk")).cast("int").alias("list_no"), "root", "grams", F.lit(True).alias("first"))
-    found = theirs.unionByName(ours).groupBy("key", "chunk_no", "list_no").applyInArrow(_cell_links(similarity), "u long, v long")
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"), chunk.alias("chunk"))
+    cells = sizes.join(first.groupBy("key").agg(F.max("no").alias("last")), "key")
+    return cells.select("key", "chunks", "chunk", (F.floor(F.col("last") / F.col("chunk")).cast("int") + 1).alias("lists"))
+
+
+def _round_links(scratch: Scratch, members: DataFrame, grams: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """Links of all comparisons of the ``first`` texts of each bucket (key, text_hash, root, no) with its ``members``.
+
+    In a bucket of one cell a text arrives once, also if it is a first text.
+    """
+    cells = scratch.table(_cells(members, first), "cells")
+    own = F.pmod(F.xxhash64("text_hash", F.lit(1)), F.col("chunks")).cast("int")
+    kind = "array<struct<chunk_no:int,list_no:int,side:int>>"
+
+    def at(chunk_no, list_no, side: int):
+        return F.struct(chunk_no.alias("chunk_no"), list_no.alias("list_no"), F.lit(side).alias("side"))
+
+    one = F.array(at(F.lit(0), F.lit(0), BOTH)).cast(kind)
+    theirs = F.transform(F.sequence(F.lit(0), F.col("lists") - 1), lambda i: at(own, i, OTHER)).cast(kind)
+    ours = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: at(i, F.floor(F.col("no") / F.col("chunk")).cast("int"), FIRST_TEXT)).cast(kind)
+    alone = (F.col("chunks") == 1) & (F.col("lists") == 1)
+    places = F.when(F.col("no").isNull(), theirs).when(alone, one).otherwise(F.concat(theirs, ours))
+    named = members.select("key", "text_hash", "root").join(first.select("key", "text_hash", "no"), ["key", "text_hash"], "left")
+    placed = named.join(cells, "key").select("key", "text_hash", "root", F.inline(places)).join(grams.drop("n"), "text_hash").drop("text_hash")
+    found = placed.groupBy("key", "chunk_no", "list_no").applyInArrow(_cell_links(similarity), "u long, v long")
     links = scratch.table(found.distinct(), "links")
     scratch.drop(cells)
     return links

@@ -176,3 +176,14 @@ def test_one_decimal_is_printf(spark):
     values += [rng.randrange(10**8) / 100 for _ in range(3000)] + [rng.random() * 10 ** rng.randrange(-3, 9) for _ in range(1000)]
     rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", one_decimal(F.col("x")).alias("t")).collect()
     assert [(r.x, r.t) for r in rows if r.t != f"{r.x:.1f}"] == []
+
+
+def test_thresholds_meet_their_rows_without_a_shuffle_by_map(spark):
+    """Rows of two maps stay where they are: a join by map would put each map into one task."""
+    from tidemark.operators import resource as rs
+
+    cols = [F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("dataset"), F.lit("strict").alias("mode"), F.lit("V4").alias("version")]
+    rows = spark.range(0, 400, 1, 4).select("id", *cols, *[((F.col("id") * k % 97) / 97.0).alias(c) for c, k in (("score", 7), ("A", 11), ("Gamma", 13), ("V", 17))])
+    for out in (rs.state_map(rows), rs.diamond(rows, {"i": "score", "r": "A"}, ["dataset"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and out.count() == 400

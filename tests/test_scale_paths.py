@@ -187,3 +187,16 @@ def test_thresholds_meet_their_rows_without_a_shuffle_by_map(spark):
     for out in (rs.state_map(rows), rs.diamond(rows, {"i": "score", "r": "A"}, ["dataset"])):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and out.count() == 400
+
+
+def test_a_row_at_both_medians_has_no_direction_as_in_sql(spark, tmp_path):
+    """One event a dataset: its radius is zero, and zero by zero is NaN in the SQL."""
+    import duckdb
+    import oracle_check
+
+    import __spark_entry__ as entry
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_id = 1").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert oracle_check.compare(spark, con, entry.queries()["r07_diamond_2d"], entry.oracle_sql()["r07_diamond_2d"], str(tmp_path)) == "ok 1"

@@ -200,3 +200,11 @@ def test_a_row_at_both_medians_has_no_direction_as_in_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
     assert oracle_check.compare(spark, con, entry.queries()["r07_diamond_2d"], entry.oracle_sql()["r07_diamond_2d"], str(tmp_path)) == "ok 1"
+
+
+def test_generated_methods_are_of_a_size_that_the_jvm_compiles(spark):
+    from tidemark.session import METHOD_BYTES, ship_package
+
+    other = spark.newSession()
+    ship_package(other)
+    assert int(other.conf.get("spark.sql.codegen.hugeMethodLimit")) == METHOD_BYTES

@@ -81,3 +81,11 @@ def test_folds_keep_rows_without_a_subject(spark):
 
     kept = null_safe_join(rows, search.subject_folds(rows, 2), ["subject_id"])
     assert kept.count() == 3 and kept.where(F.col("fold").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_draws_are_counted_once_before_the_passes(spark, parts):
+    places = spark.createDataFrame([(g, i, n, f"r{i}") for g, n in ((0, 40), (1, 7)) for i in range(n)], "group int, record_place long, record_n long, record string")
+    got = batched.drawn(places.repartition(parts), "record", 5, 42).collect()
+    want = {(g, d): batched.draw_counts(np.arange(n), n, d, 42) for g, n in ((0, 40), (1, 7)) for d in range(1, 6)}
+    assert len(got) == 47 and all(r.record_drawn == [want[r.group, d][r.record_place] for d in range(1, 6)] for r in got)

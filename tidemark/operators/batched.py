@@ -24,6 +24,8 @@ PASSES, RIDGE = 40, 1e-6
 REST = (1e-4, 1e-3)
 #: Rows of a group from which first centres are drawn (those of least hash); the fits themselves use all rows.
 SEEDING = 512
+#: Rows of a file that the passes read.
+PART_ROWS = 65_536
 
 
 @dataclass(frozen=True)
@@ -84,6 +86,14 @@ class Model:
         return replace(self, means=means, covs=covs, shares=n / n.sum(), merit=merit), abs(merit - self.merit) > REST[1] * max(n.sum(), 1.0)
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Rows and records of a group."""
+
+    row_n: int
+    record_n: int
+
+
 def terms(x: np.ndarray) -> np.ndarray:
     """One, the values, and their products two by two: all candidates' scores are one product with these."""
     return np.hstack([np.ones((len(x), 1)), x, (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)])
@@ -111,11 +121,32 @@ def draw_counts(places: np.ndarray, n: int, draw: int, seed: int) -> np.ndarray:
     return out
 
 
-def _weights(rows: dict[str, np.ndarray], unit: str, draw: int, seed: int) -> np.ndarray:
-    if not draw:
-        return np.ones(len(rows["x"]))
-    places, inverse = np.unique(rows[f"{unit}_place"], return_inverse=True)
-    return draw_counts(places, int(rows[f"{unit}_n"][0]), draw, seed)[inverse].astype(float)
+def drawn(places: DataFrame, unit: str, draws: int, seed: int) -> DataFrame:
+    """``places`` (group, <unit>_place, <unit>_n and others) with <unit>_drawn: how often each comes up in draws 1 to ``draws``.
+
+    Counted once, as every step of every candidate reads them.
+    """
+    place, n = places.columns.index(f"{unit}_place"), places.columns.index(f"{unit}_n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, at = np.asarray(batch.column("group")), np.asarray(batch.column(place))
+            counts = np.zeros((batch.num_rows, draws), np.int32)
+            for group in np.unique(own):
+                rows = np.flatnonzero(own == group)
+                total = int(np.asarray(batch.column(n))[rows[0]])
+                some, inverse = np.unique(at[rows], return_inverse=True)
+                for draw in range(draws):
+                    counts[rows, draw] = draw_counts(some, total, draw + 1, seed)[inverse]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * draws, pa.int32()), pa.array(counts.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, f"{unit}_drawn"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in places.schema.fields)
+    return places.mapInArrow(run, f"{fields}, {unit}_drawn array<int>")
+
+
+def _weights(rows: dict[str, np.ndarray], unit: str, draw: int) -> np.ndarray:
+    return rows[f"{unit}_drawn"][:, draw - 1].astype(float) if draw else np.ones(len(rows["x"]))
 
 
 def _by_group(whole: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
@@ -127,10 +158,10 @@ def _by_group(whole: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray
 def _groups_of(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     own = np.asarray(batch.column("group"))
     x = np.asarray(batch.column("x").flatten(), float).reshape(batch.num_rows, -1)
-    columns = {name: np.asarray(batch.column(name)) for name in ("record_place", "record_n", "row_place", "row_n")}
     for group in np.unique(own):
         at = own == group
-        yield int(group), {"x": x[at]} | {name: c[at] for name, c in columns.items()}
+        held = pa.array(at)
+        yield int(group), {"x": x[at]} | {name: np.asarray(batch.column(name).filter(held).flatten()).reshape(at.sum(), -1) for name in ("record_drawn", "row_drawn")}
 
 
 def _summed(rows: DataFrame, groups: set[int], work) -> dict[int, np.ndarray]:
@@ -152,7 +183,7 @@ def _summed(rows: DataFrame, groups: set[int], work) -> dict[int, np.ndarray]:
     return {r.number: np.frombuffer(r.sums) for r in each.groupBy("number").applyInArrow(add, "number long, sums binary").collect()}
 
 
-def fit_all(rows: DataFrame, models: list[Model], seed: int) -> list[Model]:
+def fit_all(rows: DataFrame, models: list[Model]) -> list[Model]:
     """All candidates moved until they rest or ``PASSES`` passes are done; a resting one costs nothing more."""
     models, moving = list(models), set(range(len(models)))
     for _ in range(PASSES):
@@ -162,15 +193,17 @@ def fit_all(rows: DataFrame, models: list[Model], seed: int) -> list[Model]:
         for i in moving:
             work_list.setdefault(models[i].group, []).append((i, models[i]))
 
-        def work(group, own, work_list=work_list):
-            drawn: dict[tuple, np.ndarray] = {}
+        def work(group, own, work_list=work_list, tables={}):  # noqa: B006 (a task has its own)
+            weights: dict[tuple, np.ndarray] = {}
             z, at = terms(own["x"]), 0
-            scores = z @ np.hstack([m.weights() for _, m in work_list[group]])
+            if group not in tables:
+                tables[group] = np.hstack([m.weights() for _, m in work_list[group]])
+            scores = z @ tables[group]
             for i, m in work_list[group]:
                 key = (m.unit, m.draw)
-                if key not in drawn:
-                    drawn[key] = _weights(own, *key, seed)
-                yield i, m.sums(z, drawn[key], scores[:, at : at + m.k])
+                if key not in weights:
+                    weights[key] = _weights(own, *key)
+                yield i, m.sums(z, weights[key], scores[:, at : at + m.k])
                 at += m.k
 
         sums = _summed(rows, set(work_list), work)
@@ -210,18 +243,35 @@ def robust_scale(rows: DataFrame, space: list[str], keys: list[str]) -> DataFram
     return df.withColumns({f"s_{m}": (F.col(m) - F.col(f"_{m}_q2")) / width[m] for m in space}).drop(*[f"_{m}_{k}" for m in space for k in ("q1", "q2", "q3")])
 
 
-def placed(scaled: DataFrame, space: list[str], keys: list[str], record: str, staging) -> tuple[DataFrame, dict[int, tuple]]:
-    """Rows with group (a number), x, and their place among the group's records and rows; the groups' keys by number."""
-    names = {i: tuple(r) for i, r in enumerate(scaled.groupBy(*keys).count().orderBy(*keys).drop("count").collect())}  # one row a group
-    numbers = scaled.sparkSession.createDataFrame([(i, *n) for i, n in names.items()], f"group int, {', '.join(f'{k} string' for k in keys)}")
-    rows = null_safe_join(scaled, F.broadcast(numbers), keys).withColumn("x", F.array(*[F.col(f"s_{m}").cast("double") for m in space]))
+def placed(scaled: DataFrame, space: list[str], keys: list[str], record: str, staging, *, ks, draws: int, seed: int) -> tuple[DataFrame, dict[int, tuple], dict[int, Sizes]]:
+    """Rows with group (a number), x, their place in the group and the draws of their record; the groups' keys and sizes by number.
+
+    Draws of single rows are there for groups of so few records that some k draws rows, and empty elsewhere.
+    """
+    spark = scaled.sparkSession
+    found = scaled.groupBy(*keys).count().orderBy(*keys).collect()  # one row a group
+    names, row_n = {i: tuple(r)[:-1] for i, r in enumerate(found)}, {i: r["count"] for i, r in enumerate(found)}
+    numbers = spark.createDataFrame([(i, row_n[i], *n) for i, n in names.items()], f"group int, row_n long, {', '.join(f'{k} string' for k in keys)}")
+    x = F.array(*[F.col(f"s_{m}").cast("double") for m in space]).alias("x")
+    rows = null_safe_join(scaled, F.broadcast(numbers), keys).select("group", "row_n", F.col(record).alias("record"), "label", "va_quadrant", x)
     rows = staging(rows.withColumn("_row", F.monotonically_increasing_id()), "cluster-rows")
-    bucket = lambda c: F.shiftright(F.xxhash64(c), 44)
-    records = with_position(rows.select("group", record).distinct().withColumn("_h", F.xxhash64(record)), ["group"], ["_h", record], bucket(record), "record_place").drop("_h")
-    rows = with_position(rows, ["group"], ["_row"], F.shiftright("_row", 16), "row_place")
-    rows = null_safe_join(rows, records, ["group", record])
-    sizes = rows.groupBy("group").agg(F.count("*").alias("row_n"), (F.max("record_place") + 1).alias("record_n"))
-    return staging(rows.join(F.broadcast(sizes), "group").drop("_row"), "cluster-places"), names
+    bucket = F.shiftright(F.xxhash64("record"), 44)
+    records = with_position(rows.select("group", "record").distinct().withColumn("_h", F.xxhash64("record")), ["group"], ["_h", "record"], bucket, "record_place").drop("_h")
+    records = staging(records, "cluster-records")
+    record_n = {r.group: r.n for r in records.groupBy("group").agg((F.max("record_place") + 1).alias("n")).collect()}  # one row a group
+    counts = spark.createDataFrame(list(record_n.items()), "group int, record_n long")
+    cores = spark.sparkContext.defaultParallelism
+    records = records.join(F.broadcast(counts), "group").repartitionByRange(cores, "group", "record_place").sortWithinPartitions("group", "record_place")
+    records = staging(drawn(records, "record", draws, seed).select("group", "record", "record_drawn"), "cluster-draws")
+    rows = null_safe_join(with_position(rows, ["group"], ["_row"], F.shiftright("_row", 16), "row_place").drop("_row"), records, ["group", "record"]).drop("record")
+    parts = max(cores, sum(row_n.values()) // PART_ROWS + 1)  # every pass reads these files, so they are of one size
+    few = [g for g, n in record_n.items() if n < max(2 * max(ks), 8)]
+    small = F.col("group").isin(*few) if few else F.lit(False)
+    out = rows.where(~small).withColumn("row_drawn", F.array().cast("array<int>")).repartition(parts)
+    if few:
+        own = rows.where(small).repartitionByRange(parts, "group", "row_place").sortWithinPartitions("group", "row_place")
+        out = out.unionByName(drawn(own, "row", draws, seed))
+    return staging(out, "cluster-places"), names, {g: Sizes(row_n[g], record_n[g]) for g in names}
 
 
 def candidates(scaled: DataFrame, space: list[str], keys: list[str], staging, *, ks=(2, 3, 4, 5), iterations: int = 24, restarts=(("kmeans", 20), ("gmm", 4)),
@@ -232,13 +282,12 @@ def candidates(scaled: DataFrame, space: list[str], keys: list[str], staging, *,
     with replacement, exactly; where a group has fewer than max(2 k, 8) records, rows are drawn. Groups of fewer than
     max(40, 10 k) rows are not clustered at that k. ``staging`` writes a table that several passes read.
     """
-    rows, names = placed(scaled, space, keys, record, staging)
-    sizes = {r.group: r for r in rows.groupBy("group").agg(F.first("row_n").alias("row_n"), F.first("record_n").alias("record_n")).collect()}
+    rows, names, sizes = placed(scaled, space, keys, record, staging, ks=ks, draws=iterations, seed=seed)
     first = Window.partitionBy("group").orderBy(F.xxhash64("row_place"), "row_place")
     sampled = rows.withColumn("_no", F.row_number().over(first)).where(F.col("_no") <= SEEDING).select("group", "x").collect()
     samples = {g: np.array([r.x for r in sampled if r.group == g], float) for g in names}
     tasks = [(g, a, k, n) for g in names for a, n in restarts for k in ks if sizes[g].row_n >= max(40, 10 * k)]
-    fitted = fit_all(rows, [first_model(samples[g], g, a, k, 0, "row", seed + i) for g, a, k, n in tasks for i in range(n)], seed)
+    fitted = fit_all(rows, [first_model(samples[g], g, a, k, 0, "row", seed + i) for g, a, k, n in tasks for i in range(n)])
     best: dict[tuple, Model] = {}
     for m in fitted:
         key = (m.group, m.algorithm, m.k)
@@ -250,7 +299,7 @@ def candidates(scaled: DataFrame, space: list[str], keys: list[str], staging, *,
         for draw in range(1, iterations + 1):
             starts += [replace(m, draw=draw, unit=unit, merit=-math.inf), first_model(samples[g], g, a, k, draw, unit, seed + draw)]
     drawn: dict[tuple, Model] = {}
-    for m in fit_all(rows, starts, seed):
+    for m in fit_all(rows, starts):
         key = (m.group, m.algorithm, m.k, m.draw)
         if key not in drawn or m.merit > drawn[key].merit:
             drawn[key] = m

@@ -208,3 +208,17 @@ def test_generated_methods_are_of_a_size_that_the_jvm_compiles(spark):
     other = spark.newSession()
     ship_package(other)
     assert int(other.conf.get("spark.sql.codegen.hugeMethodLimit")) == METHOD_BYTES
+
+
+def test_quantiles_without_each_fold_count_every_row_once(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.randrange(3), rng.choice([round(rng.gauss(0, 1), 2), None])) for _ in range(900)] + [("c", 1, 5.0), ("a", None, 0.5)]
+    df = spark.createDataFrame(rows, "g string, fold long, x double")
+    got = {(r.g, r.fold): (r.lo, r.mid) for r in od.exact_quantiles(df, ["g"], "x", {"lo": 0.05, "mid": 0.5}, left_out=("fold", [0, 1, 2])).collect()}
+    want = {}
+    for g in "abc":
+        for fold in range(3):
+            x = [v for h, f, v in rows if h == g and f is not None and f != fold and v is not None]
+            if x:
+                want[g, fold] = tuple(np.quantile(x, [0.05, 0.5]))
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)

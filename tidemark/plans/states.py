@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregators as ag
 from tidemark.operators import separation as sp
-from tidemark.plans.mapping import results
+from tidemark.plans.mapping import SPACE, results
 from tidemark.plans.output import finish
 from tidemark.plans.staging import stage
 from tidemark.sources.tables import fixture
@@ -15,7 +15,7 @@ K = ["version"]
 
 
 def rows(spark, sf_dir):
-    return results(spark, sf_dir, "hybrid", ("V4", "V5")).where(F.col("score").isNotNull())
+    return results(spark, sf_dir, "hybrid", ("V4", "V5"), columns=SPACE).where(F.col("score").isNotNull())
 
 
 def labels(spark, sf_dir):
@@ -33,13 +33,8 @@ def kruskal(spark, sf_dir):
     return finish(sp.epsilon_squared(sp.kruskal(sp.measure_rows(rows(spark, sf_dir), K), [*K, "measure"])))
 
 
-def _scored(spark, sf_dir):
-    """The scores once, read back by labels, measures and centroids."""
-    return stage(rows(spark, sf_dir).select(*K, "segment_id", "label", *sp.MEASURES), "scored")
-
-
 def _tests(spark, sf_dir):
-    r = _scored(spark, sf_dir)
+    r = rows(spark, sf_dir)
     return sp.pair_statistics(sp.measure_rows(r, K), sp.usable_labels(r, K), K, staging=stage)
 
 
@@ -70,12 +65,12 @@ def centroids(spark, sf_dir):
 
 def pair_aggregate(spark, sf_dir):
     """Full pair table with p-values, aggregated per pair."""
-    return finish(sp.pair_aggregate(sp.pair_table(_scored(spark, sf_dir), K, staging=stage), K))
+    return finish(sp.pair_aggregate(sp.pair_table(rows(spark, sf_dir), K, staging=stage), K))
 
 
 def supported_set(spark, sf_dir):
     """K12 on the supported pairs of K11."""
-    return finish(sp.largest_supported_set(sp.pair_aggregate(sp.pair_table(_scored(spark, sf_dir), K, staging=stage), K), K))
+    return finish(sp.largest_supported_set(sp.pair_aggregate(sp.pair_table(rows(spark, sf_dir), K, staging=stage), K), K))
 
 
 def _values(spark, sf_dir):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import batched
 from tidemark.operators import clusters as cl
 from tidemark.operators import indices as ix
+from tidemark.plans.mapping import SPACE as MEASURED
 from tidemark.plans.mapping import results
 from tidemark.plans.output import finish
 from tidemark.plans.staging import stage
@@ -70,7 +71,7 @@ SPACE = ["score", "Q", "A", "Gamma", "V"]
 
 
 def _clustered(spark, sf_dir):
-    df = results(spark, sf_dir, "hybrid", ("V4",))
+    df = results(spark, sf_dir, "hybrid", ("V4",), columns=MEASURED)
     scaled = stage(cl.robust_scale(df.where("score is not null"), SPACE), "scaled")
     return scaled.withColumn("cluster", F.when(F.col("s_A") + F.col("s_V") > 1, 2).when(F.col("s_Gamma") > 0, 1).otherwise(0))
 

@@ -6,8 +6,9 @@ shingles, as 64-bit hashes (n distinct ones collide with probability n^2 / 2^65)
 
 A bucket compares its first ``FIRST`` texts with all its texts; then these are done with and leave it. What is near is
 joined at once, and a bucket whose texts are all in one group leaves as a whole, so a large group of near copies is joined in
-a round. While texts of different groups are left, rounds go on with twice as many first texts. The texts of a bucket are
-dealt to cells of bounded size, in which their shingles arrive once. A few bands go first, as they join most groups.
+a round. While texts of different groups are left, rounds go on with four times as many first texts, up to ``MOST``. The
+texts of a bucket are numbered once, so a round is a range of numbers. They are dealt to cells of bounded size, in which
+their shingles arrive once. A few bands go first, as they join most groups.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, LEAD = 24, 4, 4
 #: Texts of a bucket that are compared with all others in the first round.
 FIRST = 16
+#: Most first texts of a round: what a round sends stays a few times its texts, and a text is in few rounds.
+MOST = 4096
 #: A cell has about this many texts on either side, and fewer if their shingles would be more than that. The more a cell
 #: has, the less often a text of a large bucket is sent: with all first texts in one list, once a round.
 CELL_TEXTS, CELL_SHINGLES = 1024, 1 << 20
@@ -86,15 +89,17 @@ def _cell_links(similarity: float):
         root = np.asarray(cell.column("root")).copy()
         sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in cell.column("grams")]
         others = np.flatnonzero(side != FIRST_TEXT)
-        sizes = np.array([len(sets[i]) for i in others], np.int64)
-        every = np.concatenate([np.zeros(0, np.uint64), *[sets[i] for i in others]])
-        owner = np.repeat(np.arange(len(others)), sizes)
+        counts = np.array([len(x) for x in sets], np.int64)
+        known, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        own = np.split(numbers, np.cumsum(counts)[:-1])
+        every = np.concatenate([np.zeros(0, np.int64), *[own[i] for i in others]])
+        sizes, starts = counts[others], np.cumsum(counts[others]) - counts[others]
         links = []
-        for i in np.flatnonzero(side != OTHER):
-            own = sets[i]
-            at = np.minimum(np.searchsorted(own, every), len(own) - 1)
-            both = np.bincount(owner[own[at] == every], minlength=len(others))
-            near = others[(both > 0) & (both >= similarity * (len(own) + sizes - both))]
+        for i in np.flatnonzero(side != OTHER) if len(others) else ():
+            mark = np.zeros(len(known), np.int32)
+            mark[own[i]] = 1
+            both = np.add.reduceat(mark[every], starts)
+            near = others[(both > 0) & (both >= similarity * (counts[i] + sizes - both))]
             for other in np.unique(root[near]):
                 if other != root[i]:
                     links.append((root[i], other))
@@ -129,12 +134,13 @@ def _cells(members: DataFrame, first: DataFrame) -> DataFrame:
     return cells.select("key", "chunks", "chunk", (F.floor(F.col("last") / F.col("chunk")).cast("int") + 1).alias("lists"))
 
 
-def _round_links(scratch: Scratch, members: DataFrame, grams: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
-    """Links of all comparisons of the ``first`` texts of each bucket (key, text_hash, root, no) with its ``members``.
+def _round_links(scratch: Scratch, members: DataFrame, grams: DataFrame, start: int, stop: int, similarity: float) -> DataFrame:
+    """Links of all comparisons of the first texts of each bucket, numbers ``start`` to ``stop``, with its ``members``.
 
     In a bucket of one cell a text arrives once, also if it is a first text.
     """
-    cells = scratch.table(_cells(members, first), "cells")
+    named = members.select("key", "text_hash", "root", "n", F.when(F.col("no") < stop, F.col("no") - start).alias("no"))
+    cells = scratch.table(_cells(named, named.where(F.col("no").isNotNull())), "cells")
     own = F.pmod(F.xxhash64("text_hash", F.lit(1)), F.col("chunks")).cast("int")
     kind = "array<struct<chunk_no:int,list_no:int,side:int>>"
 
@@ -146,8 +152,7 @@ def _round_links(scratch: Scratch, members: DataFrame, grams: DataFrame, first:
     ours = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: at(i, F.floor(F.col("no") / F.col("chunk")).cast("int"), FIRST_TEXT)).cast(kind)
     alone = (F.col("chunks") == 1) & (F.col("lists") == 1)
     places = F.when(F.col("no").isNull(), theirs).when(alone, one).otherwise(F.concat(theirs, ours))
-    named = members.select("key", "text_hash", "root").join(first.select("key", "text_hash", "no"), ["key", "text_hash"], "left")
-    placed = named.join(cells, "key").select("key", "text_hash", "root", F.inline(places)).join(grams.drop("n"), "text_hash").drop("text_hash")
+    placed = named.drop("n").join(cells, "key").select("key", "text_hash", "root", F.inline(places)).join(grams.drop("n"), "text_hash").drop("text_hash")
     found = placed.groupBy("key", "chunk_no", "list_no").applyInArrow(_cell_links(similarity), "u long, v long")
     links = scratch.table(found.distinct(), "links")
     scratch.drop(cells)
@@ -175,20 +180,19 @@ def similar_links(docs: DataFrame, roots: DataFrame, similarity: float = SIMILAR
             continue
         texts = base.join(named, "text_hash", "left_semi").mapInArrow(_gram_batches, "text_hash long, grams binary, n int")
         grams = scratch.table(texts.groupBy("text_hash").agg(F.min("grams").alias("grams"), F.min("n").alias("n")), "grams")
-        left = scratch.table(members.join(grams.drop("grams"), "text_hash"), "left")
+        order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("text_hash"), "text_hash"))
+        left = scratch.table(members.join(grams.drop("grams"), "text_hash").withColumn("no", order - 1), "left")
         scratch.drop(members, named)
-        take = FIRST
+        start, take = 0, FIRST
         while not left.isEmpty():
-            order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("text_hash"), "text_hash"))
-            first = scratch.table(left.withColumn("no", order).where(F.col("no") <= take).select("key", "text_hash", "root", (F.col("no") - 1).alias("no")), "first")
-            found = _round_links(scratch, left, grams, first, similarity)
-            rest = left.join(first.select("key", "text_hash"), ["key", "text_hash"], "left_anti")
+            found = _round_links(scratch, left, grams, start, start + take, similarity)
+            rest = left.where(F.col("no") >= start + take)
             if not found.isEmpty():
                 links.append(found)
                 rest = moved(rest, joined([found]))
             before, left = left, scratch.table(_live(rest), "left")
-            scratch.drop(before, first)
-            take = min(2 * take, 1000)
+            scratch.drop(before)
+            start, take = start + take, min(4 * take, MOST)
         scratch.drop(left, grams)
     scratch.drop(keyed)
     return stage(functools.reduce(DataFrame.unionByName, links), "similar-links") if links else None

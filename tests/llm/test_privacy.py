@@ -141,6 +141,19 @@ def test_generalised_by_kind(spark):
     assert dict(texts)[301] == "x1 y1 [WORD] [NUMBER] [CODE] q1 [EMAIL] r1"
 
 
+def test_terms_in_documents_without_an_entity(spark, tmp_path):
+    """The query also takes out what gives an entity away where the entity itself is not named."""
+    docs = corpus()
+    want, act = plain(docs)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in op.op12_pii(spark, str(tmp_path)).collect()}
+    bare = {d: [(m.start(), act[w], m.end()) for m in re.finditer(WORD, t) if (w := m.group().translate(LOWER)) in act] for d, t in docs if not base(t)}
+    assert got == {d: name(bare[d]) if d in bare else spans for d, _, spans in want}
+    assert got[210] and sum(map(bool, bare.values())) >= 2
+    texts = {r.doc_id: r.sanitised for r in op.sanitise(spark.createDataFrame(docs, "doc_id long, text string"), everywhere=True).collect()}
+    assert "granger" not in texts[210] and all((texts[d] is None) == (not spans) for d, spans in got.items())
+
+
 def test_empty_table_and_digest(spark, tmp_path):
     assert found(spark, [])[0] == []
     spark.createDataFrame([(1, "call me@my.example or 10.0.0.1"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

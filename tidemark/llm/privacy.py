@@ -4,8 +4,8 @@ Emails, ip addresses, card and phone numbers are protected entities. The corpus
 (Sanchez and Batet, "C-sanitized", 2016): with counts of documents, an entity c has the information IC(c) = ln(N / n(c)),
 and a term t that is near it in n(c, t) documents reveals PMI(c, t) = ln(N n(c, t) / (n(c) n(t))) of it. The share
 PMI / IC is at most 1, for a term that is met near c only. A term whose largest share exceeds ``REMOVE`` is removed,
-one above ``GENERALISE`` is replaced by its kind, wherever it stands in a document that holds an entity. Evidence is
-counted in different surroundings: however often a text is copied, it is one.
+one above ``GENERALISE`` is replaced by its kind, wherever it stands in a document that holds an entity, or in any document.
+Evidence is counted in different surroundings: however often a text is copied, it is one.
 """
 
 from __future__ import annotations
@@ -113,8 +113,8 @@ def _all_replaced(text: Column, by: Callable[[str, Column], Column]) -> Column:
     return functools.reduce(lambda before, kind: one(kind, before), PATTERNS, text)
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """row, doc_id, found (array of start, no, end; no is the place in ``KINDS``) and, where any is found, text; staged."""
+def base_spans(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """row, doc_id, found (array of start, no, end; no is the place in ``KINDS``) and, where any is found or with ``texts``, text; staged."""
     base = own_columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     none = F.array().cast("array<struct<start:bigint,no:int,end:bigint>>")
 
@@ -123,7 +123,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
         return F.when(F.expr(_HINTS[kind]), F.transform(right, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("no"), s["end"].alias("end")))).otherwise(none)
 
     found = base.select("doc_id", "text", F.array_sort(F.concat(*[spans(no, kind) for no, kind in enumerate(PATTERNS)])).alias("found"))
-    return stage(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "found", F.when(F.size("found") > 0, F.col("text")).alias("text")), "privacy-base")
+    return stage(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "found", F.when((F.size("found") > 0) | F.lit(texts), F.col("text")).alias("text")), "privacy-base")
 
 
 def _words(text: Column) -> Column:
@@ -163,40 +163,45 @@ def _shape(word: Column) -> Column:
     return F.when(word.rlike("^[0-9]+$"), F.lit("[NUMBER]")).when(word.rlike("[0-9]"), F.lit("[CODE]")).otherwise(F.lit("[WORD]"))
 
 
-def sanitise(docs: DataFrame, near: int = NEAR, evidence: int = EVIDENCE, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, near: int = NEAR, evidence: int = EVIDENCE, generalise: float = GENERALISE, remove: float = REMOVE, everywhere: bool = False) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end by start; spans has the terms too), sanitised; one row for each of ``docs``.
 
     Offsets are code points, end exclusive. ``base`` has the emails, ips, cards and phones, which may overlap one another;
     terms never overlap them. ``sanitised`` is the text with entities and terms replaced, null where it stays as it is;
     in it an overlapping entity of a later kind is what the earlier one leaves, and U+0001 becomes a space. Null texts
-    are empty, texts without an entity have no spans, and texts of any length are read whole. Repeated rows have the same
+    are empty, and texts of any length are read whole. Terms are looked for in texts that hold an entity, with
+    ``everywhere`` in all others too: there they give away an entity that is not named. Repeated rows have the same
     result each; a null doc_id stays null. An empty table gives no rows. Other columns are not read.
     """
-    found = base_spans(docs)
-    held = found.where(F.size("found") > 0)
+    found = base_spans(docs, everywhere)
+    held = F.size("found") > 0
     clean = F.translate("text", "\x01", " ")
-    marked = stage(held.select("row", _all_replaced(clean, _entity).alias("marked"), _all_replaced(clean, lambda kind, m: F.repeat(F.lit(" "), F.length(m))).alias("masked")), "privacy-marked")
+    texts = _all_replaced(clean, _entity).alias("marked"), _all_replaced(clean, lambda kind, m: F.repeat(F.lit(" "), F.length(m))).alias("masked")
+    marked = stage(found.where(held).select("row", *texts), "privacy-marked")
+    others = found.where(~held & F.lit(everywhere)).select("row", clean.alias("marked"), clean.alias("masked"))  # not staged a second time
     shares = disclosure(docs, marked.select("row", "marked"), near, evidence)
     actions = shares.where(F.col("share") >= generalise).select("term", F.when(F.col("share") >= remove, F.lit(5)).otherwise(F.lit(4)).alias("no"))
     salted = stage(actions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "privacy-terms")
-    words = marked.select("row", F.explode(F.array_distinct(_words(F.col("masked")))).alias("term"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
-    flagged = words.join(salted, ["term", "salt"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("term", "no"))).alias("flags"))
-    rows = found.join(marked.join(flagged, "row", "left"), "row", "left")
+    words = marked.unionAll(others).select("row", F.explode(F.array_distinct(_words(F.col("masked")))).alias("term"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+    flagged = stage(words.join(salted, ["term", "salt"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("term", "no"))).alias("flags")), "privacy-flags")
+    changed = marked.join(flagged, "row", "left").unionAll(others.join(flagged, "row"))
 
     def action(word: Column) -> Column:
         return F.get(F.filter("flags", lambda f: f["term"] == lower_az(word)), 0)["no"]
 
     pattern = F.concat(F.lit(f"(?i)(?<!{_LETTER})(?:"), F.array_join(F.transform("flags", lambda f: f["term"]), "|"), F.lit(f")(?!{_LETTER})"))
     terms = F.transform(places(F.col("masked"), pattern), lambda s: F.struct(s["start"].alias("start"), action(s["value"]).alias("no"), s["end"].alias("end")))
-    spans = F.when(F.col("flags").isNull(), F.col("found")).otherwise(F.array_sort(F.concat("found", terms)))
     text = F.when(F.col("flags").isNull(), F.col("marked")).otherwise(replaced(F.col("marked"), pattern, lambda m: F.when(action(m) == 5, F.lit("[REMOVED]")).otherwise(_shape(m))))
     for kind, mark in zip(KINDS, _MARKS):
         text = F.regexp_replace(text, rf"\x01{mark}[a-p]+\x01", f"[{kind.upper()}]")
+    results = changed.select("row", F.when(F.col("flags").isNotNull(), terms).alias("terms"), text.alias("sanitised"))  # before the join, which moves no unread text
+    rows = found.select("row", "doc_id", "found").join(results, "row", "left")
+    spans = F.when(F.col("terms").isNull(), F.col("found")).otherwise(F.array_sort(F.concat("found", "terms")))
 
     def named(array: Column) -> Column:
         return F.transform(array, lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["no"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-    return rows.select("doc_id", named(F.col("found")).alias("base"), named(spans).alias("spans"), text.alias("sanitised"))
+    return rows.select("doc_id", named(F.col("found")).alias("base"), named(spans).alias("spans"), "sanitised")
 
 
 def op12_pii(spark, sf_dir: str) -> DataFrame:
@@ -206,5 +211,5 @@ def op12_pii(spark, sf_dir: str) -> DataFrame:
     def listed(name: str) -> Column:
         return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    rows = sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet"), everywhere=True)
     return rows.select("doc_id", *map(count, KINDS[:4]), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))

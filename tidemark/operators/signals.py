@@ -19,6 +19,8 @@ from tidemark.functions import columns as fx
 
 L = F.lit
 _POWERS = T.ArrayType(T.DoubleType())
+#: Samples that are filtered at once (2 MB a copy), so a worker's copies of them do not grow with the batch.
+FILTER_VALUES = 1 << 18
 
 
 # --- numeric helpers --------------------------------------------------------------------------
@@ -157,11 +159,13 @@ def beats(samples: pd.Series, fs: pd.Series, kind: pd.Series) -> pd.Series:
     for i, (x, rate, k) in enumerate(zip(samples, fs, kind)):
         if x is not None and len(x) and rate > 0:
             groups.setdefault((len(x), float(rate), k), []).append(i)
-    for (_, rate, k), members in groups.items():
-        rows = np.stack([np.asarray(samples.iloc[i], dtype=float) for i in members])
-        rows = zero_phase_bandpass(rows, rate, *(cfg.ECG_FILTER if k == "ecg" else cfg.PPG_FILTER))
-        for i, row in zip(members, rows):
-            out[i] = beat_intervals(row, rate, k)
+    for (length, rate, k), members in groups.items():
+        step = max(1, FILTER_VALUES // length)
+        for part in (members[at : at + step] for at in range(0, len(members), step)):
+            rows = np.stack([np.asarray(samples.iloc[i], dtype=float) for i in part])
+            rows = zero_phase_bandpass(rows, rate, *(cfg.ECG_FILTER if k == "ecg" else cfg.PPG_FILTER))
+            for i, row in zip(part, rows):
+                out[i] = beat_intervals(row, rate, k)
     return pd.Series(out)
 
 

@@ -24,8 +24,8 @@ PASSES, RIDGE = 40, 1e-6
 REST = (1e-4, 1e-3)
 #: Rows of a group from which first centres are drawn (those of least hash); the fits themselves use all rows.
 SEEDING = 512
-#: Rows of a file that the passes read.
-PART_ROWS = 65_536
+#: Rows of a file that the passes read, and of a block in it: the scores of a stack for a block stay in a core's cache.
+PART_ROWS, BLOCK_ROWS, STACK_CLUSTERS = 65_536, 2_048, 32
 
 
 @dataclass(frozen=True)
@@ -145,33 +145,157 @@ def drawn(places: DataFrame, unit: str, draws: int, seed: int) -> DataFrame:
     return places.mapInArrow(run, f"{fields}, {unit}_drawn array<int>")
 
 
-def _weights(rows: dict[str, np.ndarray], unit: str, draw: int) -> np.ndarray:
-    return rows[f"{unit}_drawn"][:, draw - 1].astype(float) if draw else np.ones(len(rows["x"]))
+def packed(places: DataFrame, unit: str) -> DataFrame:
+    """``places`` with <unit>_drawn as one byte a draw. A count above 255 (less than one in 10^500 draws) is an error."""
+    at = places.columns.index(f"{unit}_drawn")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(at)
+            counts = np.asarray(lists.flatten().cast(pa.uint8())).reshape(batch.num_rows, -1)
+            columns = list(batch.columns)
+            columns[at] = pa.array([c.tobytes() for c in counts], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return places.mapInArrow(run, ", ".join(f"`{f.name}` {'binary' if f.name == f'{unit}_drawn' else f.dataType.simpleString()}" for f in places.schema.fields))
+
+
+def blocks(rows: DataFrame, dims: int) -> DataFrame:
+    """Rows (group, x, record_drawn, row_drawn) of a group as blocks: x row by row, and the counts draw by draw (none: empty)."""
+
+    def block(group: int, x: np.ndarray, *drawn: list[bytes]) -> tuple:
+        return group, x.tobytes(), *[np.frombuffer(b"".join(d), np.uint8).reshape(len(x), -1).T.tobytes() for d in drawn]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+
+        def full(least: int) -> pa.RecordBatch:
+            out = []
+            for group, parts in held.items():
+                if parts and (n := sum(len(p[0]) for p in parts)) >= least:
+                    x, record, row = np.concatenate([p[0] for p in parts]), *([v for p in parts for v in p[i]] for i in (1, 2))
+                    cut = n if least == 1 else n - n % BLOCK_ROWS
+                    out += [block(group, *(v[i : min(i + BLOCK_ROWS, cut)] for v in (x, record, row))) for i in range(0, cut, BLOCK_ROWS)]
+                    held[group] = [(x[cut:], record[cut:], row[cut:])] if cut < n else []
+            columns = list(zip(*out)) if out else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 3))], ["group", "x", "record_drawn", "row_drawn"])
+
+        for batch in batches:
+            own = np.asarray(batch.column("group"))
+            x = np.asarray(batch.column("x").flatten(), float).reshape(batch.num_rows, dims)
+            for group in np.unique(own):
+                at = own == group
+                held.setdefault(int(group), []).append((x[at], *[batch.column(n).filter(pa.array(at)).to_pylist() for n in ("record_drawn", "row_drawn")]))
+            yield full(BLOCK_ROWS)
+        yield full(1)
 
-def _by_group(whole: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """Rows of each group, some thousands at a time, as the scores of all candidates are held for them."""
-    for start in range(0, whole.num_rows, 2048):
-        yield from _groups_of(whole.slice(start, 2048))
+    return rows.select("group", "x", "record_drawn", "row_drawn").mapInArrow(run, "group int, x binary, record_drawn binary, row_drawn binary")
 
 
-def _groups_of(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    own = np.asarray(batch.column("group"))
-    x = np.asarray(batch.column("x").flatten(), float).reshape(batch.num_rows, -1)
-    for group in np.unique(own):
-        at = own == group
-        held = pa.array(at)
-        yield int(group), {"x": x[at]} | {name: np.asarray(batch.column(name).filter(held).flatten()).reshape(at.sum(), -1) for name in ("record_drawn", "row_drawn")}
+#: Log of a share that is nothing beside one; far lower ones take the exponential four times as long.
+LEAST = -200.0
 
 
-def _summed(rows: DataFrame, groups: set[int], work) -> dict[int, np.ndarray]:
-    """Sums by number of ``work(group, rows)``, which yields (number, array): added in the task, then by number."""
+def short_terms(x: np.ndarray) -> np.ndarray:
+    """``terms`` with each product of two values once."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.hstack([np.ones((len(x), 1)), x, x[:, i] * x[:, j]])
+
+
+class Stack:
+    """Candidates of one algorithm whose rows weigh alike, so that one product scores all their clusters: a line a cluster.
+
+    k-means does without the products, which add the same to all clusters of a row.
+    """
+
+    def __init__(self, models: list[Model]):
+        self.models, self.kmeans, self.d = models, models[0].algorithm == "kmeans", models[0].means.shape[1]
+        d, tables = self.d, [m.weights().T for m in models]
+        i, j = np.triu_indices(d)
+        twice = np.where(i == j, 0.5, 1.0)
+        short = [t[:, : 1 + d] if self.kmeans else np.hstack([t[:, : 1 + d], (t[:, 1 + d + i * d + j] + t[:, 1 + d + j * d + i]) * twice]) for t in tables]
+        self.table, ends = np.vstack(short), np.cumsum([m.k for m in models])
+        self.spans = [slice(e - m.k, e) for m, e in zip(models, ends)]
+        sizes = [m.k for m in models]
+        self.runs = [(k, [c for c in range(len(sizes)) if sizes[c] == k]) for k in dict.fromkeys(sizes)]  # neighbours of one size, worked on together
+
+    def scores(self, z: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Scores, a line a cluster, and views of them as (candidate, cluster, row)."""
+        s = self.table @ z[:, : self.table.shape[1]].T
+        return s, [s[self.spans[at[0]].start : self.spans[at[-1]].stop].reshape(len(at), k, -1) for k, at in self.runs]
+
+    def nearest(self, z: np.ndarray, top: list[np.ndarray] | None = None) -> np.ndarray:
+        """One where a cluster is the best of its candidate for a row (the first of equal ones), else zero; ``top`` takes the best scores."""
+        s, views = self.scores(z)
+        for own in views:
+            best = own.max(1)
+            hit = own == best[:, None]
+            if np.count_nonzero(hit) != best.size:
+                hit &= np.cumsum(hit, 1) == 1
+            own[:] = hit
+            if top is not None:
+                top.append(best)
+        return s
+
+    def sums(self, z: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The merits of the candidates, then per cluster the sums over rows with ``short_terms`` z (k-means: less the products)."""
+        if self.kmeans:
+            few, top = z[:, : 1 + self.d], []
+            s = self.nearest(z, top)
+            merits = np.concatenate([t @ w for t in top]) - (few[:, 1:] ** 2).sum(1) @ w
+            return np.concatenate([merits, (s @ (few * w[:, None])).ravel()])
+        (s, views), merits = self.scores(z), []
+        tops = [own.max(1) for own in views]
+        for own, top in zip(views, tops):
+            own -= top[:, None]
+        np.exp(np.maximum(s, LEAST, out=s), out=s)
+        for own, top in zip(views, tops):
+            each = own.sum(1)
+            merits.append((top + np.log(each)) @ w)
+            own *= (w / each)[:, None]
+        return np.concatenate([*merits, (s @ z).ravel()])
+
+    def stepped(self, sums: np.ndarray) -> Iterator[tuple[Model, bool]]:
+        """``Model.step`` of each candidate."""
+        d, merits = self.d, sums[: len(self.models)]
+        table = sums[len(self.models) :].reshape(len(self.table), -1)
+        if not self.kmeans:
+            i, j = np.triu_indices(d)
+            products = np.empty((len(table), d, d))
+            products[:, i, j] = products[:, j, i] = table[:, 1 + d :]
+            table = np.hstack([table[:, : 1 + d], products.reshape(len(table), -1)])
+        for m, span, merit in zip(self.models, self.spans, merits):
+            yield m.step(np.concatenate([[merit], table[span].ravel()]))
+
+
+def _stacked(models: dict[int, Model], by) -> list[tuple[list[int], Stack]]:
+    """Candidates with equal ``by`` in stacks of about ``STACK_CLUSTERS`` clusters, with their numbers."""
+    out: list[tuple[list[int], Stack]] = []
+    for key in dict.fromkeys(map(by, models.values())):
+        some: list[int] = []
+        for i in sorted((i for i, m in models.items() if by(m) == key), key=lambda i: models[i].k):
+            if some and sum(models[n].k for n in some) + models[i].k > STACK_CLUSTERS:
+                out.append((some, Stack([models[n] for n in some])))
+                some = []
+            some.append(i)
+        out.append((some, Stack([models[n] for n in some])))
+    return out
+
+
+def _summed(rows: DataFrame, groups: set[int], dims: int, work) -> dict[int, np.ndarray]:
+    """Sums by number of ``work(group, z, drawn)``, which yields (number, array): added in the task, then by number.
+
+    ``z`` are the terms of a block, ``drawn`` its counts (draw by row) by unit.
+    """
+    units = [n for n in ("record_drawn", "row_drawn") if n in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for group, own in _by_group(batch):
-                for number, sums in work(group, own):
+            for group, x, *counts in zip(*[batch.column(n) for n in ("group", "x", *units)]):
+                z = short_terms(np.frombuffer(x.as_buffer()).reshape(-1, dims))
+                drawn = {n.removesuffix("_drawn"): np.frombuffer(c.as_buffer(), np.uint8).reshape(-1, len(z)) for n, c in zip(units, counts)}
+                for number, sums in work(group.as_py(), z, drawn):
                     total[number] = total[number] + sums if number in total else sums
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([s.tobytes() for s in total.values()], pa.binary())], ["number", "sums"])
 
@@ -184,33 +308,34 @@ def _summed(rows: DataFrame, groups: set[int], work) -> dict[int, np.ndarray]:
 
 
 def fit_all(rows: DataFrame, models: list[Model]) -> list[Model]:
-    """All candidates moved until they rest or ``PASSES`` passes are done; a resting one costs nothing more."""
+    """All candidates moved until they rest or ``PASSES`` passes are done; a resting one costs nothing more. ``rows``: ``blocks``."""
     models, moving = list(models), set(range(len(models)))
+    rows = rows if any(m.draw for m in models) else rows.select("group", "x")
     for _ in range(PASSES):
         if not moving:
             break
-        work_list: dict[int, list[tuple[int, Model]]] = {}
-        for i in moving:
-            work_list.setdefault(models[i].group, []).append((i, models[i]))
-
-        def work(group, own, work_list=work_list, tables={}):  # noqa: B006 (a task has its own)
-            weights: dict[tuple, np.ndarray] = {}
-            z, at = terms(own["x"]), 0
-            if group not in tables:
-                tables[group] = np.hstack([m.weights() for _, m in work_list[group]])
-            scores = z @ tables[group]
-            for i, m in work_list[group]:
-                key = (m.unit, m.draw)
-                if key not in weights:
-                    weights[key] = _weights(own, *key)
-                yield i, m.sums(z, weights[key], scores[:, at : at + m.k])
-                at += m.k
-
-        sums = _summed(rows, set(work_list), work)
-        for i in list(moving):
-            models[i], more = models[i].step(sums[i])
-            if not more:
-                moving.discard(i)
+        stacks = _stacked({i: models[i] for i in sorted(moving)}, lambda m: (m.group, m.unit if m.draw else "", m.draw, m.algorithm))
+        work_list: dict[int, dict[tuple, list[tuple[int, Stack]]]] = {}
+        for number, (_, stack) in enumerate(stacks):
+            m = stack.models[0]
+            work_list.setdefault(m.group, {}).setdefault((m.unit, m.draw), []).append((number, stack))
+
+        def work(group, z, drawn, work_list=work_list):
+            for (unit, draw), some in work_list[group].items():
+                own, w = z, np.ones(len(z))
+                if draw:
+                    counts = drawn[unit][draw - 1]
+                    at = np.flatnonzero(counts)  # rows that are not drawn add nothing
+                    own, w = z[at], counts[at].astype(float)
+                for number, stack in some:
+                    yield number, stack.sums(own, w)
+
+        sums = _summed(rows, set(work_list), models[0].means.shape[1], work)
+        for number, (places, stack) in enumerate(stacks):
+            for i, (model, more) in zip(places, stack.stepped(sums[number])):
+                models[i] = model
+                if not more:
+                    moving.discard(i)
     return models
 
 
@@ -244,17 +369,17 @@ def robust_scale(rows: DataFrame, space: list[str], keys: list[str]) -> DataFram
 
 
 def placed(scaled: DataFrame, space: list[str], keys: list[str], record: str, staging, *, ks, draws: int, seed: int) -> tuple[DataFrame, dict[int, tuple], dict[int, Sizes]]:
-    """Rows with group (a number), x, their place in the group and the draws of their record; the groups' keys and sizes by number.
+    """Rows with group (a number), x, a number of their own and the draws of their record; the groups' keys and sizes by number.
 
     Draws of single rows are there for groups of so few records that some k draws rows, and empty elsewhere.
     """
     spark = scaled.sparkSession
-    found = scaled.groupBy(*keys).count().orderBy(*keys).collect()  # one row a group
+    x = F.array(*[F.col(f"s_{m}").cast("double") for m in space]).alias("x")
+    rows = staging(scaled.select(*keys, F.col(record).alias("record"), "label", "va_quadrant", x).withColumn("_row", F.monotonically_increasing_id()), "cluster-rows")
+    found = rows.groupBy(*keys).count().orderBy(*keys).collect()  # one row a group
     names, row_n = {i: tuple(r)[:-1] for i, r in enumerate(found)}, {i: r["count"] for i, r in enumerate(found)}
     numbers = spark.createDataFrame([(i, row_n[i], *n) for i, n in names.items()], f"group int, row_n long, {', '.join(f'{k} string' for k in keys)}")
-    x = F.array(*[F.col(f"s_{m}").cast("double") for m in space]).alias("x")
-    rows = null_safe_join(scaled, F.broadcast(numbers), keys).select("group", "row_n", F.col(record).alias("record"), "label", "va_quadrant", x)
-    rows = staging(rows.withColumn("_row", F.monotonically_increasing_id()), "cluster-rows")
+    rows = null_safe_join(rows, F.broadcast(numbers), keys).select("group", "row_n", "record", "label", "va_quadrant", "x", "_row")
     bucket = F.shiftright(F.xxhash64("record"), 44)
     records = with_position(rows.select("group", "record").distinct().withColumn("_h", F.xxhash64("record")), ["group"], ["_h", "record"], bucket, "record_place").drop("_h")
     records = staging(records, "cluster-records")
@@ -262,16 +387,16 @@ def placed(scaled: DataFrame, space: list[str], keys: list[str], record: str, st
     counts = spark.createDataFrame(list(record_n.items()), "group int, record_n long")
     cores = spark.sparkContext.defaultParallelism
     records = records.join(F.broadcast(counts), "group").repartitionByRange(cores, "group", "record_place").sortWithinPartitions("group", "record_place")
-    records = staging(drawn(records, "record", draws, seed).select("group", "record", "record_drawn"), "cluster-draws")
-    rows = null_safe_join(with_position(rows, ["group"], ["_row"], F.shiftright("_row", 16), "row_place").drop("_row"), records, ["group", "record"]).drop("record")
+    records = staging(packed(drawn(records, "record", draws, seed).select("group", "record", "record_drawn"), "record"), "cluster-draws")
     parts = max(cores, sum(row_n.values()) // PART_ROWS + 1)  # every pass reads these files, so they are of one size
     few = [g for g, n in record_n.items() if n < max(2 * max(ks), 8)]
     small = F.col("group").isin(*few) if few else F.lit(False)
-    out = rows.where(~small).withColumn("row_drawn", F.array().cast("array<int>")).repartition(parts)
+    out = null_safe_join(rows.where(~small).withColumn("row_drawn", F.lit(b"")), records, ["group", "record"]).drop("record").repartition(parts)
     if few:
-        own = rows.where(small).repartitionByRange(parts, "group", "row_place").sortWithinPartitions("group", "row_place")
-        out = out.unionByName(drawn(own, "row", draws, seed))
-    return staging(out, "cluster-places"), names, {g: Sizes(row_n[g], record_n[g]) for g in names}
+        own = with_position(null_safe_join(rows.where(small), records, ["group", "record"]).drop("record"), ["group"], ["_row"], F.shiftright("_row", 16), "row_place")
+        own = own.repartitionByRange(parts, "group", "row_place").sortWithinPartitions("group", "row_place")
+        out = out.unionByName(packed(drawn(own, "row", draws, seed), "row").drop("row_place"))
+    return staging(out.drop("row_n"), "cluster-places"), names, {g: Sizes(row_n[g], record_n[g]) for g in names}
 
 
 def candidates(scaled: DataFrame, space: list[str], keys: list[str], staging, *, ks=(2, 3, 4, 5), iterations: int = 24, restarts=(("kmeans", 20), ("gmm", 4)),
@@ -283,11 +408,12 @@ def candidates(scaled: DataFrame, space: list[str], keys: list[str], staging, *,
     max(40, 10 k) rows are not clustered at that k. ``staging`` writes a table that several passes read.
     """
     rows, names, sizes = placed(scaled, space, keys, record, staging, ks=ks, draws=iterations, seed=seed)
-    first = Window.partitionBy("group").orderBy(F.xxhash64("row_place"), "row_place")
+    dealt = staging(blocks(rows, len(space)), "cluster-blocks")
+    first = Window.partitionBy("group").orderBy(F.xxhash64("_row"), "_row")
     sampled = rows.withColumn("_no", F.row_number().over(first)).where(F.col("_no") <= SEEDING).select("group", "x").collect()
     samples = {g: np.array([r.x for r in sampled if r.group == g], float) for g in names}
     tasks = [(g, a, k, n) for g in names for a, n in restarts for k in ks if sizes[g].row_n >= max(40, 10 * k)]
-    fitted = fit_all(rows, [first_model(samples[g], g, a, k, 0, "row", seed + i) for g, a, k, n in tasks for i in range(n)])
+    fitted = fit_all(dealt, [first_model(samples[g], g, a, k, 0, "row", seed + i) for g, a, k, n in tasks for i in range(n)])
     best: dict[tuple, Model] = {}
     for m in fitted:
         key = (m.group, m.algorithm, m.k)
@@ -299,29 +425,34 @@ def candidates(scaled: DataFrame, space: list[str], keys: list[str], staging, *,
         for draw in range(1, iterations + 1):
             starts += [replace(m, draw=draw, unit=unit, merit=-math.inf), first_model(samples[g], g, a, k, draw, unit, seed + draw)]
     drawn: dict[tuple, Model] = {}
-    for m in fit_all(rows, starts):
+    for m in fit_all(dealt, starts):
         key = (m.group, m.algorithm, m.k, m.draw)
         if key not in drawn or m.merit > drawn[key].merit:
             drawn[key] = m
-    boots = _bootstrap(rows, best, drawn)
+    boots = _bootstrap(dealt, best, drawn)
     return _metrics(rows, space, keys, names, sizes, best, boots)
 
 
 def _bootstrap(rows: DataFrame, best: dict, drawn: dict) -> dict[tuple, list[tuple]]:
     """Per group, algorithm and k the (ari, drift, tiny, size_cv) of each draw's model over all rows, against the best one."""
     order = list(drawn)
-    number = {key: i for i, key in enumerate(order)}
+    stacks = _stacked({i: drawn[key] for i, key in enumerate(order)}, lambda m: (m.group, m.algorithm, m.k))
+    references = [Stack([best[m.group, m.algorithm, m.k]]) for m in (stack.models[0] for _, stack in stacks)]
 
-    def work(group, own):
-        reference = {key: m.scores(own["x"]).argmax(1) for key, m in best.items() if key[0] == group}
-        for key, m in drawn.items():
-            if key[0] == group:
-                yield number[key], np.bincount(reference[key[:3]] * m.k + m.scores(own["x"]).argmax(1), minlength=m.k * m.k).astype(float)
+    def work(group, z, counts):
+        for number, ((_, stack), reference) in enumerate(zip(stacks, references)):
+            if stack.models[0].group == group:
+                yield number, (stack.nearest(z) @ reference.nearest(z).T).ravel()
 
     out: dict[tuple, list[tuple]] = {}
-    tables = _summed(rows, {key[0] for key in drawn}, work) if drawn else {}
+    tables: dict[tuple, np.ndarray] = {}
+    if drawn:
+        sums = _summed(rows.select("group", "x"), {key[0] for key in drawn}, stacks[0][1].d, work)
+        for number, (places, stack) in enumerate(stacks):
+            for i, span in zip(places, stack.spans):
+                tables[order[i]] = sums[number].reshape(len(stack.table), -1)[span].T  # cluster of the best model by cluster of the draw's
     for key, m in drawn.items():
-        table = tables[number[key]].reshape(m.k, m.k)
+        table = tables[key]
         found = table.sum(0)
         if (found > 0).sum() >= 2:
             share = found[found > 0] / found.sum()

@@ -135,7 +135,7 @@ def dynamic_notes(spark, sf_dir):
 
 def cluster_search(spark, sf_dir):
     """K-means (20 restarts) and mixtures (4) of k 2 to 5 with 24 bootstrap draws, consensus and verdict."""
-    df = results(spark, sf_dir, "hybrid", ("V4",)).where("score is not null")
+    df = results(spark, sf_dir, "hybrid", ("V4",), columns=(*MEASURED, "source_record_id", "valence", "arousal")).where("score is not null")
     scaled = cl.va_quadrant(batched.robust_scale(df, SPACE, ["version"]))
     found = stage(batched.candidates(scaled, SPACE, ["version"], stage), "candidates")
     top = cl.consensus(cl.score_candidates(found, ["version"]), ["version"]).withColumn("label_set_size", L(2))
